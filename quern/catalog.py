@@ -1,0 +1,15 @@
+"""Registry of the engine's own queries and their SQL counterparts."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
