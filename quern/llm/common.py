@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +46,6 @@ def n_words(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def row_uid(docs: DataFrame) -> Column:
+    """A 64-bit digest of all columns of a row (maps, which cannot be hashed, aside)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in sorted(docs.schema, key=lambda f: f.name) if "map<" not in f.dataType.simpleString()])

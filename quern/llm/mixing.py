@@ -107,10 +107,10 @@ def _fly(level: int, last: bool, seed: int):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, uid (of doc_id, source and text), size, source_size, target and copies of each row of ``docs``."""
+    """doc_id, uid (digest of the row), size, source_size, target and copies of each row of ``docs``."""
     rows = common.staged(
         docs.select(
-            "doc_id", common.null_safe(F.col("source")).alias("skey"), common.n_words(F.col("text")).alias("size"), row_uid().alias("uid")
+            "doc_id", common.null_safe(F.col("source")).alias("skey"), common.n_words(F.col("text")).alias("size"), common.row_uid(docs).alias("uid")
         ),
         "mix-rows",
     )
@@ -141,16 +141,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     return out.select("doc_id", "uid", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
-def row_uid():
-    return F.xxhash64("doc_id", "source", "text")
-
-
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` (of the same table) takes it. Rows alike in doc_id, source
-    and text share what is taken of them as evenly as whole numbers allow."""
+    """``docs`` with each row as often as ``mixed`` (of the same table) takes it. Rows alike in every column
+    share what is taken of them as evenly as whole numbers allow."""
     names = docs.columns
     taken = mixed.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_c")).where("_c > 0").withColumnRenamed("uid", "_uid")
-    rows = docs.withColumn("_uid", row_uid()).join(taken, "_uid")
+    rows = docs.withColumn("_uid", common.row_uid(docs)).join(taken, "_uid")
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_uid").orderBy("_uid")))
     return rows.withColumn("_times", F.expr("floor(_i * _c / _n) - floor((_i - 1) * _c / _n)")).where("_times > 0").withColumn(
         "_copy", F.explode(F.expr("sequence(1, int(_times))"))

@@ -8,6 +8,9 @@ import importlib
 MODULES = {
     "op2_mixing": "mixing",
     "op4_sharding": "sharding",
+    "op6_decontamination": "decontamination",
+    "op8_simhash": "simhash",
+    "op9_langid": "langid",
 }
 
 

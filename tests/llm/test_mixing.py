@@ -67,3 +67,19 @@ def test_repeat_rows(spark):
 
 def test_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES:
+        out = common.staged(stage(spark, docs, SF), name)
+        assert 0 < out.count() <= 2 * docs.count()
+        if name != "shard":
+            assert out.columns == docs.columns
+        docs = out
+    assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+    for name, stage in cp.STAGES:
+        assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
