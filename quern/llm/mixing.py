@@ -6,7 +6,7 @@ with rate ``target / size`` takes ``floor(rate)`` copies of each of its document
 balanced sample: inclusion probabilities, all the fractional part of the rate, move at random along
 null-space directions of the constraints (words, documents) until they are 0 or 1.
 
-The flight runs in blocks of some thousand documents of one source. Each block keeps its word and
+The flight runs in blocks of some hundred documents of one source. Each block keeps its word and
 document totals exactly and leaves two undecided documents at most; these meet in blocks of the next
 level, until one block per source is left. Its two last documents land on the rounding that misses
 the word total least. So a source misses its target by half of one of its documents at most.
@@ -32,13 +32,13 @@ from quern.llm import common
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 SEED = 20
-#: Documents in a block of the first level, blocks that meet in one of the next, copies of the source table in joins.
-BLOCK, MEET, SALT = 4096, 1024, 16
+#: Documents of one source in a block of the first level, blocks that meet in one of the next, copies of the source table in joins.
+BLOCK, MEET, SALT = 512, 128, 16
 EPS = 1e-9
 
 
 def allot(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Adds ``target`` to a table of one row per source (skey, source_size)."""
+    """Adds ``target`` to a table of one row per source (skey, source_size, blocks)."""
     every = Window.partitionBy(F.lit(0))  # one row per source of the mixture
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     s = sizes.withColumn("w", F.element_at(cycle, ((F.row_number().over(every.orderBy("skey")) - 1) % len(weights) + 1).cast("int")))
@@ -49,7 +49,7 @@ def allot(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     s = s.withColumn("full", F.col("below") + F.col("level") * F.col("w_left") <= F.col("goal"))
     free_w = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0.0)).over(every)
     water = (F.col("goal") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(every)) / F.when(free_w > 0, free_w)
-    return s.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), F.col("w") * water)).cast("double")).select("skey", "source_size", "target")
+    return s.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), F.col("w") * water)).cast("double")).select("skey", "source_size", "blocks", "target")
 
 
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -114,16 +114,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         ),
         "mix-rows",
     )
-    sources = allot(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    per_source = common.staged(rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "mix-sources")
+    blocks = per_source.agg(F.max("blocks")).first()[0] or 1  # of the largest source
+    sources = allot(per_source, weights, share, cap)
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    blocks = max(1, math.ceil(rows.count() / BLOCK))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
         rows.withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int"))
         .join(salted, ["skey", "salt"])
         .withColumn("whole", F.floor(rate + EPS).cast("int"))
         .withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-        .withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("blocks")))
         .select("doc_id", "uid", "skey", "block", "size", "source_size", "target", "whole", "p")
     )
     done, level = [], 0

@@ -25,7 +25,7 @@ def water(sizes, weights, share=1.5, cap=2.0):
 
 @pytest.mark.parametrize("sizes", [[10, 200, 30, 5], [100, 100, 100], [7], [1000, 1, 1, 1, 500], [0, 5, 0, 9]])
 def test_allot_is_resharing_by_weight(spark, sizes):
-    df = spark.createDataFrame([(f"\x00s{i}", s) for i, s in enumerate(sizes)], "skey string, source_size long")
+    df = spark.createDataFrame([(f"\x00s{i}", s, 1) for i, s in enumerate(sizes)], "skey string, source_size long, blocks long")
     got = [r.target for r in mixing.allot(df).orderBy("skey").collect()]
     assert got == pytest.approx(water(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]))
 
