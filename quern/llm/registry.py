@@ -8,9 +8,12 @@ import importlib
 MODULES = {
     "op2_mixing": "mixing",
     "op4_sharding": "sharding",
+    "op5_substrings": "substrings",
     "op6_decontamination": "decontamination",
+    "op7_tokens": "tokens",
     "op8_simhash": "simhash",
     "op9_langid": "langid",
+    "op10_nearest": "nearest",
 }
 
 
