@@ -6,7 +6,9 @@ import importlib
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE_SQL``.
 MODULES = {
+    "op1_licenses": "licenses",
     "op2_mixing": "mixing",
+    "op3_secrets": "secrets",
     "op4_sharding": "sharding",
     "op5_substrings": "substrings",
     "op6_decontamination": "decontamination",

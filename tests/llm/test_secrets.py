@@ -1,0 +1,59 @@
+import hashlib
+
+import numpy as np
+import pytest
+
+from quern.llm import secrets
+from tests.conftest import SF
+
+SCHEMA = "doc_id long, text string, rule string, score int"
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return secrets.train()
+
+
+def test_held_out_accuracy(forest):
+    x, y = [], []
+    for text, good in secrets.labelled(1000, seed=12345):
+        for c in secrets.candidates(text):
+            x.append(secrets.features(text, *c))
+            y.append(good)
+    assert len(y) >= 900 and ((forest.score(np.array(x)) >= secrets.SCORE) == np.array(y)).mean() >= 0.97
+
+
+def test_forest_learns_a_rule():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 5))
+    y = (x[:, 1] > 0.5) ^ (x[:, 3] > 0.7)
+    f = secrets.Forest(x[:400], y[:400], trees=15)
+    assert ((f.score(x[400:]) > 0.5) == y[400:]).mean() > 0.85
+    assert (secrets.Forest(x[:400], y[:400], trees=3).score(x) == secrets.Forest(x[:400], y[:400], trees=3).score(x)).all()
+
+
+def test_findings(spark, forest):
+    key = "AKIA" + "Q7ZK2M9XW4T1B8RD"
+    pw = "9f3b17c04de2a85b61"
+    rows = [
+        (1, f"on the way {key} to it"), (2, f"use password={pw} here and token = \"{'0a9b8c7d6e' * 4}\" too"), (3, "see commit 0641917ea4e9feb9cda83477b57ac2654884f485 now"),
+        (4, None), (5, ""), (6, "password=changeme and token: your_token_here"), (7, "4863730426282943 is a card"), (8, "w " * 200_000 + key), (None, key), (1, f"on the way {key} to it"),
+    ]
+    got = secrets.find(spark.createDataFrame([(i, t, "r", 0) for i, t in rows], SCHEMA), forest).collect()
+    digest = hashlib.sha256(key.encode()).hexdigest()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["1", "1", "2", "2", "8", "None"])
+    assert all(r.secret_sha256 == digest for r in got if r.doc_id != 2)
+    assert [(r.start, r.length) for r in got if r.doc_id == 8] == [(400_000, 20)]
+    assert all(rows[0][1][r.start : r.start + r.length] == key for r in got if r.doc_id == 1)
+    assert secrets.find(spark.createDataFrame([], SCHEMA), forest).count() == 0
+
+
+def test_query(spark):
+    got = secrets.query(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got:
+        value = texts[r.doc_id][r.start : r.start + r.length]
+        assert hashlib.sha256(value.encode()).hexdigest() == r.secret_sha256
+    import re
+
+    assert {i for i, t in texts.items() if re.search(r"\bAKIA[0-9A-Z]{16}\b", t)} <= {r.doc_id for r in got}
