@@ -528,11 +528,12 @@ _COLUMN_CALLS: dict[str, Callable[..., Px]] = {
 
 
 def _arithmetic(op: str, a: Px, b: Px) -> Px:
-    if op == "+" and "string" in (a.kind, b.kind):
-        x, y = a.number, b.number
+    if op == "+" and {a.kind, b.kind} <= {"string", "variant"}:
+        # joined if both are texts, else added
+        s, t = (paths.variant_value(p.col).string if p.kind == "variant" else p.col for p in (a, b))
         if a.kind == b.kind == "string":
-            return _text(F.concat(a.string, b.string))
-        return _num(x + y)
+            return _text(F.concat(s, t))
+        return _text(F.when(s.isNotNull() & t.isNotNull(), F.concat(s, t)).otherwise(number_text(a.number + b.number)))
     x, y = a.number, b.number
     match op:
         case "+":
