@@ -6,12 +6,14 @@ two megabytes by a digest of the row.
 
 1. Candidates: in each run of 20 words the least hash of its 6-word phrases is the run's anchor. Equal
    runs have equal anchors, and about one phrase in eight is one, so only (anchor, block) is shuffled.
-   Anchors with one occurrence in all documents are dropped.
+   Anchors with one occurrence in all documents are dropped. Whole texts that are copies of a text
+   with a smaller id are one passage each, known by the digest of the text.
 2. Confirmation: a block emits a 128-bit digest of each run whose anchor recurs, once, with its first
-   place in the block. Digests that occur twice are recurring passages; their least place is the first.
-3. Location: each block compiles the recurring passages that it holds into automata over word numbers,
-   so many passages to an automaton, and streams all its documents through them. Every
-   occurrence that is not the first removes its words. Matches are of words, not of hashes.
+   place in the block. Digests met again are recurring passages; their least place is the first.
+3. Location: each block joins neighbouring recurring runs to longer passages, cuts those into pieces
+   of ten words (any run of 20 holds one), compiles the pieces into automata over word numbers, so
+   many to an automaton, and streams its documents through them. Each hit is extended word by word
+   along the passage; what matches 20 words or more and is not the first place is removed.
 
 What a block emits for a run does not depend on how often it occurs there, so a passage in a third of
 all documents gives one row per block. Nothing is broadcast or collected.
@@ -29,14 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common
 
 WORDS, PHRASE = 20, 6
-#: Bytes of text in a block, passages in an automaton, words whose hashes are kept.
-BLOCK, PATTERNS, KEPT = 2 << 20, 40_000, 500_000
+#: Words of a piece: any run of WORDS words holds one that starts at a multiple of this.
+PIECE = (WORDS + 1) // 2
+#: Bytes of text in a block, pieces in an automaton, words whose hashes are kept.
+BLOCK, PATTERNS, KEPT = 2 << 20, 50_000, 500_000
 LAST = (1 << 63) - 1
 _HASHES: dict[bytes, int] = {}
 A, B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -96,16 +100,24 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _in_order(docs: pd.DataFrame) -> pd.DataFrame:
     """A block's documents in the order that both passes share."""
-    return docs.sort_values(["key", "text"], kind="stable", ignore_index=True)
+    return docs.sort_values(["key", "digest"], kind="stable", ignore_index=True)
 
 
-def _confirm(_, docs: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
+def _copies(docs: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+    """Which documents are copies of a text with a smaller id."""
+    known = found[found["digest"] != ""]
+    known = set(zip(known["key"].tolist(), known["digest"].tolist()))
+    return np.array([kd in known for kd in zip(docs["key"].tolist(), docs["digest"].tolist())], bool)
+
+
+def _confirm(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Digest, first place in the block and count of each run whose anchor recurs."""
     docs = _in_order(docs)
-    recurring = np.sort(anchors["anchor"].to_numpy(np.int64).view(np.uint64))
+    copy = _copies(docs, found)
+    recurring = np.sort(found.loc[found["digest"] == "", "anchor"].to_numpy(np.int64).view(np.uint64))
     parts = []
     for row, text in enumerate(docs["text"]) if len(recurring) else ():
-        words = text.encode().split() if text else ()
+        words = text.encode().split() if text and not copy[row] else ()
         if len(words) < WORDS:
             continue
         h = _hashes(words)
@@ -120,41 +132,79 @@ def _confirm(_, docs: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     place = np.flatnonzero(first)
     return pd.DataFrame({
-        "a": a[place].view(np.int64), "b": b[place].view(np.int64), "row": row[place].astype(np.int32), "start": start[place].astype(np.int32),
+        "a": a[place].view(np.int64), "b": b[place].view(np.int64), "block": np.int64(key[0]),
+        "row": row[place].astype(np.int32), "start": start[place].astype(np.int32),
         "key": docs["key"].to_numpy(np.int64)[row[place]] if len(place) else np.zeros(0, np.int64),
-        "n": np.minimum(np.diff(np.append(place, len(a))), 2).astype(np.int32),
+        "again": np.diff(np.append(place, len(a))) > 1,
     })
 
 
-def _locate(_, docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+def _joined(passages: pd.DataFrame) -> list[tuple[int, int, int, int, int]]:
+    """Neighbouring runs whose first places are neighbours too, as (row, start, end, first key, first start)."""
+    if not len(passages):
+        return []
+    p = passages.sort_values(["row", "start"])
+    row, start, key, first = (p[c].to_numpy(np.int64) for c in ("row", "start", "first_key", "first_start"))
+    new = np.ones(len(p), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(start) != 1) | (key[1:] != key[:-1]) | (np.diff(first) != 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(p)) - 1
+    return list(zip(row[at].tolist(), start[at].tolist(), (start[last] + WORDS).tolist(), key[at].tolist(), first[at].tolist()))
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(a[:n] != b[:n])
+    return int(differs[0]) if len(differs) else n
+
+
+def _remove(doc: np.ndarray, key: int, hits, gone: np.ndarray, passages: list, words: list[np.ndarray]) -> None:
+    """Extends hits (place in the document, passage, place in the passage) and marks what is not first."""
+    done: dict[tuple[int, int], int] = {}
+    for p, q, o in hits:
+        if done.get((q, p - o), -1) >= p + PIECE:
+            continue
+        row, s, e, first_key, first_start = passages[q]
+        passage = words[row][s:e]
+        left = _reach(doc[:p][::-1], passage[:o][::-1])
+        right = PIECE + _reach(doc[p + PIECE :], passage[o + PIECE :])
+        done[q, p - o] = p + right
+        if left + right >= WORDS and (key, p - left) > (first_key, first_start + o - left):
+            gone[p - left : p + right] = True
+
+
+def _locate(_, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Streams a block's documents through the automata of its recurring passages."""
     import ahocorasick
 
     docs = _in_order(docs)
+    copy = _copies(docs, found)
     texts = [(t or "").encode().split() for t in docs["text"]]
-    removed = [np.zeros(len(t), bool) for t in texts]
-    if len(passages):
+    gone = [np.full(len(t), c and len(t) >= WORDS) for t, c in zip(texts, copy)]
+    passages = _joined(found[found["digest"] == ""])
+    if passages:
         number: dict[bytes, int] = {}
-        ids = [tuple([number.setdefault(w, len(number)) for w in t]) for t in texts]
-        passages = passages.sort_values(["row", "start"])
-        keys = docs["key"].tolist()
-        rows, starts = passages["row"].tolist(), passages["start"].tolist()
-        first_key, first_start = passages["first_key"].tolist(), passages["first_start"].tolist()
-        for s in range(0, len(rows), PATTERNS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for p in range(s, min(s + PATTERNS, len(rows))):
-                automaton.add_word(ids[rows[p]][starts[p] : starts[p] + WORDS], p)
+        ids = [() if c else tuple([number.setdefault(w, len(number)) for w in t]) for t, c in zip(texts, copy)]
+        words = [np.array(x, np.int64) for x in ids]
+        slots: dict[tuple, list[tuple[int, int]]] = {}
+        for q, (row, s, e, _, _) in enumerate(passages):
+            for o in range(0, e - s - PIECE + 1, PIECE):
+                slots.setdefault(ids[row][s + o : s + o + PIECE], []).append((q, o))
+        pieces = list(slots.items())
+        for s in range(0, len(pieces), PATTERNS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for piece, places in pieces[s : s + PATTERNS]:
+                automaton.add_word(piece, places)
             automaton.make_automaton()
-            for key, doc, gone in zip(keys, ids, removed):
-                if len(doc) < WORDS:
-                    continue
-                for end, p in automaton.iter(doc):
-                    if (key, end - WORDS + 1) > (first_key[p], first_start[p]):
-                        gone[end - WORDS + 1 : end + 1] = True
-    kept = [hashlib.sha256(b" ".join([w for w, g in zip(t, gone.tolist()) if not g] if gone.any() else t)).hexdigest() for t, gone in zip(texts, removed)]
+            for key, doc, numbers, mark in zip(docs["key"].tolist(), ids, words, gone):
+                if len(doc) >= WORDS:
+                    hits = ((end - PIECE + 1, q, o) for end, places in automaton.iter(doc) for q, o in places)
+                    _remove(numbers, key, hits, mark, passages, words)
+    kept = [hashlib.sha256(b" ".join([w for w, g in zip(t, m.tolist()) if not g] if m.any() else t)).hexdigest() for t, m in zip(texts, gone)]
     return pd.DataFrame({
         "key": docs["key"], "missing": docs["missing"], "n_words": np.array([len(t) for t in texts], np.int64),
-        "n_removed": np.array([int(g.sum()) for g in removed], np.int64), "kept_sha256": kept,
+        "n_removed": np.array([int(m.sum()) for m in gone], np.int64), "kept_sha256": kept,
     })
 
 
@@ -163,35 +213,47 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
+    digest, zero = F.md5(F.col("text").cast("binary")), F.lit(0).cast("long")
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("doc_id").isNull().alias("missing"), F.col("text").cast("string").alias("text"),
+        F.pmod(F.xxhash64("doc_id", digest), F.lit(blocks)).alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
+        F.col("doc_id").isNull().alias("missing"), F.coalesce(digest, F.lit("")).alias("digest"), F.col("text").cast("string").alias("text"),
     )
     before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a staged table needs its shuffles no more
     try:
+        slim = common.staged(rows.where("digest != ''").select("block", "key", "digest"), "digests")
+        least = slim.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("most > least")
+        copies = common.staged(slim.join(least, "digest").where("key > least").select("block", "key", "digest").distinct(), "copies")
         anchors = common.staged(rows.select("block", "text").mapInPandas(_candidates, "anchor long, block long, n int"), "anchors")
         again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
         recurring = common.staged(anchors.join(again, "anchor", "left_semi").select("block", "anchor"), "recurring-anchors")
-        runs = common.staged(
-            rows.groupBy("block").cogroup(recurring.groupBy("block")).applyInPandas(
-                lambda k, d, a: _confirm(k, d, a).assign(block=np.int64(k[0])), "a long, b long, row int, start int, key long, n int, block long"
-            ),
-            "runs",
-        )
-        firsts = runs.groupBy("a", "b").agg(F.sum("n").alias("total"), F.min(F.struct("key", "start")).alias("first")).where("total > 1")
-        passages = common.staged(
-            runs.join(firsts, ["a", "b"])
-            .where((F.col("n") > 1) | (F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
-            .select("block", "row", "start", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start")),
-            "passages",
-        )
+        # no nulls: they would turn 64-bit integers into floats on the way to Python
+        known = recurring.withColumns({"key": zero, "digest": F.lit("")}).unionByName(copies.withColumn("anchor", zero))
+        runs = rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_confirm, "a long, b long, block long, row int, start int, key long, again boolean")
+        same = Window.partitionBy("a", "b").orderBy("key", "start")  # a row per block at most
+        place = F.struct(F.col("key").alias("first_key"), F.col("start").alias("first_start"))
+        firsts = runs.withColumn("nth", F.row_number().over(same)).withColumn("first", F.first(place).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+        passages = common.staged(firsts.where("nth > 1 or again").select("block", "row", "start", "first.*"), "passages")
     finally:
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", before)
-    out = rows.groupBy("block").cogroup(passages.groupBy("block")).applyInPandas(_locate, "key long, missing boolean, n_words long, n_removed long, kept_sha256 string")
+    nowhere = {"row": zero.cast("int"), "start": zero.cast("int"), "first_key": zero, "first_start": zero.cast("int")}
+    known = passages.withColumns({"key": zero, "digest": F.lit("")}).unionByName(copies.withColumns(nowhere))
+    out = rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_locate, "key long, missing boolean, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.when(~F.col("missing"), F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents, passages of 20 words."""
     return remove_repeats(common.read_table(spark, sf_dir, "documents"))
+
+
+#: Every window of every document, by its words.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+k AS (SELECT doc_id, s, array_to_string(ws[s + 1 : s + {WORDS}], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(len(ws) - {WORDS - 1})) AS s FROM d WHERE len(ws) >= {WORDS})),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS n FROM k),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM r, range({WORDS}) t(i) WHERE n > 1),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
