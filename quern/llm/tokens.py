@@ -38,7 +38,7 @@ from quern.llm.elias_fano import EliasFano
 
 MAGIC, END = b"QTOK1", 2
 #: Ids in a file, words whose ids are kept, and bytes of a text that are cut into words at once.
-FILE_IDS, KEPT, PIECE = 4_000_000, 600_000, 1 << 20
+FILE_IDS, KEPT, PIECE = 4_000_000, 250_000, 1 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
