@@ -16,6 +16,7 @@ Other columns are ignored. Findings carry a digest of the secret, not the secret
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -187,6 +188,7 @@ class Forest:
         return total / len(self.trees)
 
 
+@functools.cache
 def train(n: int = TRAIN, seed: int = SEED) -> Forest:
     x, y = [], []
     for text, good in labelled(n, seed):
