@@ -192,16 +192,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def label(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, fp and root (a fingerprint of its component) of every row of ``docs``."""
+def fingerprinted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, uid, fp) of ``docs``, and (fp, root): a fingerprint of the component of each fingerprint that links."""
     rows = common.staged(docs.select("doc_id", common.row_uid(docs).alias("uid"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
     roots = components(links(common.staged(rows.select("fp").distinct(), "distinct-fingerprints")))
-    return rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, roots.withColumnRenamed("node", "fp")
+
+
+def least_of(rows: DataFrame, roots: DataFrame, value: Column) -> DataFrame:
+    """(fp, root, least): the least ``value`` of each component, found over fingerprints, not over rows."""
+    per_fp = rows.groupBy("fp").agg(F.min(value).alias("v")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return per_fp.join(per_fp.groupBy("root").agg(F.min("v").alias("least")), "root").select("fp", "root", "least")
+
+
+def label(docs: DataFrame) -> DataFrame:
+    """doc_id, uid, fp and root of every row of ``docs``."""
+    rows, roots = fingerprinted(docs)
+    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of every component, with the columns of ``docs``."""
-    kept = label(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("k")).select(F.col("k.uid").alias("_uid"))
+    rows, roots = fingerprinted(docs)
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
+    kept = least_of(rows, roots, first).select(F.col("least.uid").alias("_uid")).distinct()
     rows = docs.withColumn("_uid", common.row_uid(docs)).join(kept, "_uid", "left_semi")
     once = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
     return rows.withColumn("_i", once).where("_i = 1").select(*docs.columns)
@@ -209,6 +223,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: fingerprint and component of all documents."""
-    rows = common.staged(label(common.read_table(spark, sf_dir, "documents")), "labelled")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, roots = fingerprinted(common.read_table(spark, sf_dir, "documents"))
+    ids = least_of(rows, roots, F.col("doc_id")).select("fp", F.col("least").alias("component_id"))
+    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
