@@ -195,10 +195,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    names, out = docs.columns, docs
+    out = docs.select(F.struct("*").alias("row"))
     for block in blocks(benchmark):
-        out = out.withColumn("_leaks", leaks_in(spark, block, F.col("text"))).where(F.size("_leaks") == 0).select(*names)
-    return out
+        out = out.withColumn("leaks", leaks_in(spark, block, F.col("row.text"))).where(F.size("leaks") == 0).select("row")
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
 def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a language that its labelled rows teach; what has none (``und``) is rejected."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return docs.withColumn("_found", predict(spark, model, F.col("text"))).where(F.col("_found.score") > 0).select(*docs.columns)
+    return docs.select(F.struct("*").alias("row"), predict(spark, model, F.col("text")).alias("found")).where(F.col("found.score") > 0).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,13 +145,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with each row as often as ``mixed`` (of the same table) takes it. Rows alike in every column
     share what is taken of them as evenly as whole numbers allow."""
-    names = docs.columns
-    taken = mixed.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_c")).where("_c > 0").withColumnRenamed("uid", "_uid")
-    rows = docs.withColumn("_uid", common.row_uid(docs)).join(taken, "_uid")
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_uid").orderBy("_uid")))
-    return rows.withColumn("_times", F.expr("floor(_i * _c / _n) - floor((_i - 1) * _c / _n)")).where("_times > 0").withColumn(
-        "_copy", F.explode(F.expr("sequence(1, int(_times))"))
-    ).select(*names)
+    taken = mixed.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")).where("c > 0")
+    rows = docs.select(F.struct("*").alias("row"), common.row_uid(docs).alias("uid")).join(taken, "uid")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("uid").orderBy("uid")))
+    times = F.expr("int(floor(i * c / n) - floor((i - 1) * c / n))")
+    return rows.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

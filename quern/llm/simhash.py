@@ -215,10 +215,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of every component, with the columns of ``docs``."""
     rows, roots = fingerprinted(docs)
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    kept = least_of(rows, roots, first).select(F.col("least.uid").alias("_uid")).distinct()
-    rows = docs.withColumn("_uid", common.row_uid(docs)).join(kept, "_uid", "left_semi")
-    once = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
-    return rows.withColumn("_i", once).where("_i = 1").select(*docs.columns)
+    kept = least_of(rows, roots, first).select(F.col("least.uid").alias("uid")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), common.row_uid(docs).alias("uid")).join(kept, "uid", "left_semi")
+    once = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
+    return rows.withColumn("i", once).where("i = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

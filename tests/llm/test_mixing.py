@@ -70,6 +70,8 @@ def test_empty(spark):
 
 
 def test_pipeline(spark):
+    from pyspark.sql import functions as F
+
     import corpus_pipeline as cp
     from tests.conftest import SF
 
@@ -81,5 +83,8 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         docs = out
     assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+    few = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    clash = few.withColumns({n: F.lit("x") for n in ("row", "uid", "i", "c", "n", "copy", "times", "leaks", "found", "fp", "skey", "size", "rank")})
     for name, stage in cp.STAGES:
-        assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
+        assert stage(spark, few.limit(0), SF).count() == 0
+        assert stage(spark, clash, SF).count() == stage(spark, few, SF).count()
