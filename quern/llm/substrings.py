@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     try:
         slim = common.staged(rows.where("digest != ''").select("block", "key", "digest"), "digests")
         least = slim.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("most > least")
+        least = common.staged(least, "copied-texts")  # a plain join follows, whose hot keys Spark can split
         copies = common.staged(slim.join(least, "digest").where("key > least").select("block", "key", "digest").distinct(), "copies")
         anchors = common.staged(rows.select("block", "text").mapInPandas(_candidates, "anchor long, block long, n int"), "anchors")
         again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
