@@ -8,7 +8,7 @@ of the original vectors in double precision, summed in order of the components.
 
 Every row is indexed. Rows of one axis are dealt into chunks, and the queries that probe it too, so a
 task holds a bounded number of both, and an axis on which a third of all rows lie is more chunks, not
-a larger task. Copies of a vector beyond the first ``k + 1`` ids cannot be among the ``k`` nearest and
+a larger task. Copies of a vector beyond the first ``k + 1`` distinct ids cannot be among the ``k`` nearest and
 are left out of the index exactly.
 
 The number of axes that a query probes is 11 of 128, or more on small tables: as many as can be
@@ -101,12 +101,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
         return axes
 
     first = Window.partitionBy("v").orderBy("id")
-    distinct = rows.select("id", "v").withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
+    distinct = rows.select("id", "v").distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
     index = distinct.select(
         F.explode(assign(False)("v")).alias("axis"), F.lit(False).alias("q"), "id", "v",
         F.pmod(F.xxhash64("id"), F.lit(cm)).cast("int").alias("m"),
     ).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cq - 1))))
-    queries = rows.where("q").select(
+    queries = rows.where("q").select("id", "v").distinct().select(
         F.explode(assign(True)("v")).alias("axis"), F.lit(True).alias("q"), "id", "v",
         F.pmod(F.xxhash64("id"), F.lit(cq)).cast("int").alias("c"),
     ).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(cm - 1))))
@@ -121,20 +121,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
         x = np.stack(rows["v"].to_numpy()).astype(float)
         ids = rows["id"].to_numpy()
         a, a_ids, b, b_ids = x[is_q], ids[is_q], x[~is_q], ids[~is_q]
+        order = np.argsort(b_ids, kind="stable")
+        b, b_ids = b[order], b_ids[order]
+        firsts = np.flatnonzero(np.r_[True, b_ids[1:] != b_ids[:-1]])  # an id may have several vectors
         out = []
         step = max(1, 4_000_000 // len(b))
         for s in range(0, len(a), step):
             rough = a[s : s + step] @ b.T
             rough[a_ids[s : s + step, None] == b_ids[None, :]] = -np.inf
-            least = np.partition(rough, -min(k, len(b)), axis=1)[:, -min(k, len(b))]
+            per_id = rough if len(firsts) == len(b) else np.maximum.reduceat(rough, firsts, axis=1)
+            least = np.partition(per_id, -min(k, len(firsts)), axis=1)[:, -min(k, len(firsts))]
             least = least - SLACK * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
             qi, bi = np.nonzero((rough >= least[:, None]) & np.isfinite(rough))
             exact = np.cumsum(a[s + qi] * b[bi], axis=1)[:, -1]
             order = np.lexsort([b_ids[bi], -exact, qi])
             qi, bi, exact = qi[order], bi[order], exact[order]
-            rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            keep = rank < 2 * k  # repeated rows of an id may share places
-            out.append(pd.DataFrame({"query_id": a_ids[s + qi[keep]], "vec_id": b_ids[bi[keep]], "score": exact[keep]}))
+            hits = pd.DataFrame({"row": qi, "query_id": a_ids[s + qi], "vec_id": b_ids[bi], "score": exact})
+            hits = hits.drop_duplicates(["row", "vec_id"])  # the best of each id stands first
+            out.append(hits[hits.groupby("row").cumcount() < k].drop(columns="row"))
         return pd.concat(out).drop_duplicates()
 
     found = both.groupBy("d", "axis", "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")

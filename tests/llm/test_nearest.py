@@ -70,3 +70,16 @@ def test_recall(spark, folder):
         assert len(got[q]) == len(want)
         recall.append(len(set(want) & {j for j, _ in got[q]}) / len(want))
     assert np.mean(recall) >= 0.9
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(2)
+    base, far = rng.normal(size=16), rng.normal(size=(40, 16)) * 0.1
+    rows = [(i, base) for i in range(1, 31)] * 2 + [(0, base * 0.9)] * 2 + [(50 + i, far[i]) for i in range(40)]
+    got, want = found(nearest.search(frame(spark, rows), F.col("vec_id") == 0))[0], brute(dict(rows).items())[0]
+    assert [j for j, _ in got] == [j for j, _ in want] == list(range(1, 21))
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-12)
+    # one id with 30 vectors nearer than all others is one neighbour
+    rows = [(0, base), (7, base * 3)] + [(7, base * (2 + i / 30)) for i in range(30)] + [(100 + i, base * (1 - i / 100)) for i in range(30)]
+    got = found(nearest.search(frame(spark, rows), F.col("vec_id") == 0))[0]
+    assert [j for j, _ in got] == [7, *range(100, 119)]
