@@ -1,8 +1,9 @@
 """Nearest neighbours by largest inner product, through cross-polytope hashing.
 
-Vectors are scaled by the largest norm and get one more component that makes them unit vectors (0 for
-queries), so the largest inner product is the smallest angle. Each table turns them by three rounds
-of random signs and a fast Hadamard transform and assigns each to its nearest signed axis. A query
+Rows are held in bands of norms that differ by a factor of 1.42 at most, and every band is searched for
+every query: in a band the largest inner products are among the smallest angles, so directions are
+hashed. Each table turns them by three rounds of random signs and a fast Hadamard transform and
+assigns each to its nearest signed axis. A query
 probes, in every table, the axes nearest to it; what it meets there is reranked by the inner product
 of the original vectors in double precision, summed in order of the components.
 
@@ -11,8 +12,8 @@ task holds a bounded number of both, and an axis on which a third of all rows li
 a larger task. Copies of a vector beyond the first ``k + 1`` distinct ids cannot be among the ``k`` nearest and
 are left out of the index exactly.
 
-The number of axes that a query probes is 11 of 128, or more on small tables: as many as can be
-expected to hold 2000 vectors. Recall against brute force is measured in the tests (0.9 at least).
+The number of axes that a query probes in a band is 11 of 128, or more in small bands: as many as can
+be expected to hold 2000 vectors; where that is all, one table meets every row. Recall against brute force is measured in the tests (0.9 at least).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 neither do rows without an id; vectors of different lengths do not meet; repeated rows of an id count
@@ -35,6 +36,8 @@ K, TABLES, AXES, PROBES, EXPECTED, SEED = 20, 10, 64, 11, 2000, 7
 #: Indexed rows and queries that meet in one group, on the average of the axes.
 ROWS, QUERIES = 8192, 2048
 SLACK = 1e-9
+#: Bands are powers of this factor.
+BAND = math.sqrt(2)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,22 +70,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
     embedding) for which ``is_query`` holds."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
-    rows = rows.where(valid(F.col("v"))).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    # the largest component is divided out first, so no square overflows or vanishes
+    rows, most = rows.where(valid(F.col("v"))).withColumn("most", F.array_max(F.transform("v", F.abs))), F.col("most")
+    norm = F.log(most) + 0.5 * F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    rows = rows.withColumn("band", F.round(norm / math.log(BAND)).cast("int")).drop("most")
     rows = common.staged(rows, "vectors")
-    seen = rows.agg(F.max("norm"), F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
-    top, n, n_queries = seen[0] or 1.0, seen[1], seen[2]
-    probes = min(2 * AXES, max(PROBES, math.ceil(2 * AXES * EXPECTED / max(n, 1))))
-    cm, cq = max(1, math.ceil(n / (2 * AXES) / ROWS)), max(1, math.ceil(n_queries * probes / (2 * AXES) / QUERIES))
+    seen = rows.groupBy("band").agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).collect()  # a row per band, few thousands at most
+    n_queries = sum(r[2] for r in seen)
+    sizes = []
+    for band, n, _ in seen:
+        probes = min(2 * AXES, max(PROBES, math.ceil(2 * AXES * EXPECTED / n)))
+        cm, cq = max(1, math.ceil(n / (2 * AXES) / ROWS)), max(1, math.ceil(n_queries * probes / (2 * AXES) / QUERIES))
+        sizes.append((band, probes, tables if probes < 2 * AXES else 1, cm, cq))
+    width = max((s[1] for s in sizes), default=PROBES)
+    bands = vectors.sparkSession.createDataFrame(sizes, "band int, probes int, tables int, cm int, cq int")
 
     def hashed(x: np.ndarray, query: bool) -> np.ndarray:
-        """Signed axes (rows x tables x 1 or probes) of vectors."""
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        unit = np.hstack([x / norm, np.zeros_like(norm)]) if query else np.hstack([x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))])
+        """Signed axes (rows x tables x 1 or width) of vectors, nearest first."""
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         out = []
         for t in range(tables):
             r = rotate(unit, t, seed)
             both = np.concatenate([r, -r], axis=1)
-            out.append(np.argsort(-both, axis=1, kind="stable")[:, :probes] if query else both.argmax(axis=1)[:, None])
+            out.append(np.argsort(-both, axis=1, kind="stable")[:, :width] if query else both.argmax(axis=1)[:, None])
         return np.stack(out, axis=1)
 
     def assign(query: bool):
@@ -101,16 +112,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
         return axes
 
     first = Window.partitionBy("v").orderBy("id")
-    distinct = rows.select("id", "v").distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
-    index = distinct.select(
-        F.explode(assign(False)("v")).alias("axis"), F.lit(False).alias("q"), "id", "v",
-        F.pmod(F.xxhash64("id"), F.lit(cm)).cast("int").alias("m"),
-    ).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cq - 1))))
-    queries = rows.where("q").select("id", "v").distinct().select(
-        F.explode(assign(True)("v")).alias("axis"), F.lit(True).alias("q"), "id", "v",
-        F.pmod(F.xxhash64("id"), F.lit(cq)).cast("int").alias("c"),
-    ).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(cm - 1))))
-    columns = [F.size("v").alias("d"), "axis", "m", "c", "q", "id", "v"]
+    distinct = rows.select("id", "v", "band").distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
+    index = distinct.withColumn("axes", assign(False)("v")).join(F.broadcast(bands), "band").select(
+        "band", F.explode(F.slice("axes", 1, F.col("tables"))).alias("axis"), F.lit(False).alias("q"), "id", "v", "cq",
+        F.pmod(F.xxhash64("id"), F.col("cm")).cast("int").alias("m"),
+    ).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cq") - 1)))
+    probed = F.expr("flatten(transform(sequence(0, tables - 1), t -> slice(axes, t * width + 1, probes)))")
+    queries = rows.where("q").select("id", "v").distinct().withColumn("axes", assign(True)("v"))
+    queries = queries.withColumn("width", (F.size("axes") / tables).cast("int")).crossJoin(F.broadcast(bands)).select(
+        "band", F.explode(probed).alias("axis"), F.lit(True).alias("q"), "id", "v", "cm",
+        F.pmod(F.xxhash64("id"), F.col("cq")).cast("int").alias("c"),
+    ).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)))
+    columns = [F.size("v").alias("d"), "band", "axis", "m", "c", "q", "id", "v"]
     both = index.select(*columns).unionByName(queries.select(*columns))
 
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +154,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
             out.append(hits[hits.groupby("row").cumcount() < k].drop(columns="row"))
         return pd.concat(out).drop_duplicates()
 
-    found = both.groupBy("d", "axis", "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")
+    found = both.groupBy("d", "band", "axis", "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -83,3 +83,25 @@ def test_repeated_rows_take_no_places(spark):
     rows = [(0, base), (7, base * 3)] + [(7, base * (2 + i / 30)) for i in range(30)] + [(100 + i, base * (1 - i / 100)) for i in range(30)]
     got = found(nearest.search(frame(spark, rows), F.col("vec_id") == 0))[0]
     assert [j for j, _ in got] == [7, *range(100, 119)]
+
+
+@pytest.mark.parametrize("norms", ["outlier", "varied"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(3)
+    n = 24_000  # above 23,272 rows a query probes 11 axes in a table
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[7] *= 10
+    else:
+        x *= rng.lognormal(0, 0.5, (n, 1))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = found(nearest.search(df, F.col("vec_id") % 800 == 0))
+    recall, x = [], x.astype(float)
+    for q in range(0, n, 800):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(set(np.argsort(-s)[:20].tolist()) & {j for j, _ in got[q]}) / 20)
+    print(norms, np.mean(recall))
+    assert np.mean(recall) >= 0.9
