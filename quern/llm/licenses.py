@@ -1,6 +1,8 @@
 """License scans by patience alignment.
 
-A text is read in windows of twice a template's length, each starting half a window after the last.
+A text is read in windows of twice a template's length, each starting half a window after the last,
+and then in windows of three times its length at the same places, so every stretch of twice the
+template lies whole in a window; these add what no finding of the first overlaps.
 In a window, words that are unique both to it and to the template are anchors; the longest increasing
 subsequence of their places is kept, and the gaps between anchors are aligned in the same way. A gap
 without such words is aligned by a longest common subsequence. The share of the template's words that
@@ -149,19 +151,22 @@ class Scanner:
             if known[-1] < need:
                 continue
             starts = np.arange(0, max(1, len(ids) - n), n)
-            ends = np.minimum(starts + 2 * n, len(ids))
             found: dict[int, tuple[float, int]] = {}
-            for s, e in zip(starts[known[ends] - known[starts] >= need].tolist(), ends[known[ends] - known[starts] >= need].tolist()):
-                window = ids[s:e]
-                inside = np.flatnonzero(has[window])
-                own = window[inside].tolist()
-                if (Counter(own) & count).total() < need:
-                    continue
-                pairs = align(own, template)
-                if len(pairs) < need:
-                    continue
-                first, last = s + int(inside[pairs[0][0]]), s + int(inside[pairs[-1][0]])
-                if last - first + 1 <= STRETCH * n:
+            for width in (2, 3):
+                ends = np.minimum(starts + width * n, len(ids))
+                enough = known[ends] - known[starts] >= need
+                for s, e in zip(starts[enough].tolist(), ends[enough].tolist()):
+                    window = ids[s:e]
+                    inside = np.flatnonzero(has[window])
+                    own = window[inside].tolist()
+                    if (Counter(own) & count).total() < need:
+                        continue
+                    pairs = align(own, template)
+                    if len(pairs) < need:
+                        continue
+                    first, last = s + int(inside[pairs[0][0]]), s + int(inside[pairs[-1][0]])
+                    if last - first + 1 > STRETCH * n or width == 3 and any(f <= last and first < f + span for f, (_, span) in found.items()):
+                        continue
                     best = found.get(first)
                     found[first] = max(best or (0.0, 0), (len(pairs) / n, last - first + 1))
             if found:

@@ -48,3 +48,19 @@ def test_query_finds_each_planted_line(spark):
         for name, t in licenses.TEMPLATES.items():
             if t in r.text:
                 assert (r.doc_id, name) in got
+
+
+def test_stretched_notices_are_found_wherever_they_start():
+    name, rng = "MIT", np.random.default_rng(5)
+    ws = licenses.words(licenses.TEMPLATES[name])
+    scanner = licenses.Scanner({name: licenses.TEMPLATES[name]})
+    for stretch, share in ((1.5, 0.9), (2, 1), (1.2, 0.85)):
+        for offset in range(0, 100, 3):
+            kept = sorted(rng.choice(len(ws), round(share * len(ws)), replace=False))
+            out = ["zz"] * int(stretch * len(ws))
+            between = sorted(rng.choice(np.arange(1, len(out) - 1), len(kept) - 2, replace=False))
+            for p, w in zip([0, *between, len(out) - 1], kept):
+                out[p] = ws[w]
+            got = scanner.scan(" ".join(["pad"] * offset + out + ["pad"] * 300))
+            assert [(f[0], f[2]) for f in got] == [(name, 1)]
+            assert offset <= got[0][3] and got[0][3] + got[0][4] <= offset + len(out)
