@@ -49,8 +49,8 @@ DICTIONARY = {
 }
 
 _FORMATS = [(name, re.compile(p)) for name, p in FORMATS]
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[\w-]{0,32}(?:" + "|".join(map(re.escape, NAMES)) + r")[\w-]{0,16})[\"']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?([^\s\"',;]{6,256})")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,256}(?![A-Za-z0-9+/_=\-])")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[\w-]{0,32}(?:" + "|".join(map(re.escape, NAMES)) + r")[\w-]{0,16})[\"']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?([^\s\"',;]{6,})")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}(?![A-Za-z0-9+/_=\-])")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 _NEAR = re.compile(r"[A-Za-z0-9]+")
 

@@ -57,3 +57,13 @@ def test_query(spark):
     import re
 
     assert {i for i, t in texts.items() if re.search(r"\bAKIA[0-9A-Z]{16}\b", t)} <= {r.doc_id for r in got}
+
+
+def test_long_values_are_candidates_as_a_whole(forest):
+    rng = np.random.default_rng(4)
+    pick = lambda k: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
+    key, jwt, assigned = pick(300), f"{pick(36)}.{pick(280)}.{pick(43)}", pick(5000)
+    for text, value in ((f"secret key {key} here", key), (f"Authorization: Bearer {jwt} sent", jwt), (f"api_key={assigned} end", assigned)):
+        found = [c for c in secrets.candidates(text) if len(c[2]) > 6]
+        assert [c[2] for c in found] == [value]
+        assert forest.score(np.array([secrets.features(text, *found[0])]))[0] >= secrets.SCORE
