@@ -2,18 +2,23 @@
 
 Rows are held in bands of norms that differ by a factor of 1.42 at most, and every band is searched for
 every query: in a band the largest inner products are among the smallest angles, so directions are
-hashed. Each table turns them by three rounds of random signs and a fast Hadamard transform and
-assigns each to its nearest signed axis. A query
-probes, in every table, the axes nearest to it; what it meets there is reranked by the inner product
-of the original vectors in double precision, summed in order of the components.
+hashed. A table turns them by pseudo-random rotations (three rounds of random signs and a fast Hadamard
+transform) and assigns each to its nearest signed axis; several such cross-polytopes together, of 128
+signed axes at most, are a cell's code. A band of ``n`` rows has ``2**ceil(log2(n / CELL))`` cells in each of its
+tables, so a cell holds some hundred rows however large the table grows. A query probes, in every
+table, the square root of the cells' number, those whose axes lie nearest to it together: the share of
+rows that it meets falls as the table grows. What it meets is reranked by the inner product of the
+original vectors in double precision, summed in order of the components.
 
-Every row is indexed. Rows of one axis are dealt into chunks, and the queries that probe it too, so a
-task holds a bounded number of both, and an axis on which a third of all rows lie is more chunks, not
-a larger task. Copies of a vector beyond the first ``k + 1`` distinct ids cannot be among the ``k`` nearest and
-are left out of the index exactly.
+The same law holds at every size. In a band of two cells or one the square root is all of them: one table
+meets every row there, and the answer is exact.
 
-The number of axes that a query probes in a band is 11 of 128, or more in small bands: as many as can
-be expected to hold 2000 vectors; where that is all, one table meets every row. Recall against brute force is measured in the tests (0.9 at least).
+Every row is indexed. Rows are sent to one cell of each table, queries to the cells that they probe. A
+cell that holds far more rows or queries than others, by its own counts, is dealt into chunks of bounded
+rows and queries, and only the rows and queries of that cell are copied for it. Copies of a vector beyond
+the first ``k + 1`` distinct ids cannot be among the ``k`` nearest and are left out of the index exactly.
+
+Recall against brute force is measured in the tests (0.9 at least).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 neither do rows without an id; vectors of different lengths do not meet; repeated rows of an id count
@@ -29,12 +34,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import common
 
-K, TABLES, AXES, PROBES, EXPECTED, SEED = 20, 10, 64, 11, 2000, 7
-#: Indexed rows and queries that meet in one group, on the average of the axes.
-ROWS, QUERIES = 8192, 2048
+K, TABLES, AXES, CELL, SEED = 20, 10, 64, 256, 7
+#: Indexed rows and queries that meet in one group; a cell with more is dealt into several.
+ROWS, QUERIES = 4096, 2048
+#: Place of the table's number in a cell's code.
+SHIFT = 48
 SLACK = 1e-9
 #: Bands are powers of this factor.
 BAND = math.sqrt(2)
@@ -60,6 +68,50 @@ def rotate(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x[:, :AXES]
 
 
+def bits_of(n: int) -> int:
+    """Bits of a cell's code in a table over ``n`` rows."""
+    return max(0, math.ceil(math.log2(max(1, n) / CELL)))
+
+
+def probes_of(bits: int) -> int:
+    return math.ceil(math.sqrt(1 << bits))
+
+
+def tables_of(bits: int, tables: int = TABLES) -> int:
+    """Where every cell is probed, one table is enough."""
+    return tables if probes_of(bits) < 1 << bits else 1
+
+
+def _polytopes(unit: np.ndarray, bits: int, table: int, seed: int):
+    """Components along the signed axes of each of a table's cross-polytopes."""
+    most = min(2 * AXES, 2 << max(0, (unit.shape[1] - 1).bit_length())).bit_length() - 1
+    count = -(-bits // most)
+    for j in range(count):
+        axes = 1 << (bits // count + (j < bits % count) - 1)
+        r = rotate(unit, table * 64 + j, seed)[:, :axes]
+        yield np.concatenate([r, -r], axis=1)
+
+
+def cells(x: np.ndarray, bits: int, probes: int, tables: int, seed: int = SEED) -> np.ndarray:
+    """Codes (rows x tables * probes) of the cells of vectors of one length: the ``probes`` nearest, nearest first."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = []
+    for t in range(tables):
+        code, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for along in _polytopes(unit, bits, t, seed):
+            if probes == 1:
+                code = code * along.shape[1] + along.argmax(axis=1)[:, None]
+                continue
+            away = (along.max(axis=1, keepdims=True) - along) ** 2
+            cost = (cost[:, :, None] + away[:, None, :]).reshape(len(x), -1)
+            code = (code[:, :, None] * along.shape[1] + np.arange(along.shape[1])).reshape(len(x), -1)
+            order = np.argsort(cost, axis=1, kind="stable")[:, :probes]  # the best of a sum are among the best of its parts
+            cost, code = np.take_along_axis(cost, order, axis=1), np.take_along_axis(code, order, axis=1)
+        out.append(code | (t << SHIFT))
+    return np.concatenate(out, axis=1)
+
+
 def valid(v: Column) -> Column:
     ok = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return F.coalesce(v.isNotNull() & ok, F.lit(False))
@@ -68,63 +120,51 @@ def valid(v: Column) -> Column:
 def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each row of ``vectors`` (vec_id,
     embedding) for which ``is_query`` holds."""
-    v = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding") if kind == T.ArrayType(T.FloatType(), kind.containsNull) else F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
     # the largest component is divided out first, so no square overflows or vanishes
-    rows, most = rows.where(valid(F.col("v"))).withColumn("most", F.array_max(F.transform("v", F.abs))), F.col("most")
-    norm = F.log(most) + 0.5 * F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-    rows = rows.withColumn("band", F.round(norm / math.log(BAND)).cast("int")).drop("most")
+    wide = F.col("v").cast("array<double>")
+    rows, most = rows.where(valid(F.col("v"))).withColumn("most", F.array_max(F.transform(wide, F.abs))), F.col("most")
+    norm = F.log(most) + 0.5 * F.log(F.aggregate(wide, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    rows = rows.withColumn("band", F.round(norm / math.log(BAND)).cast("int")).withColumn("d", F.size("v")).drop("most")
     rows = common.staged(rows, "vectors")
-    seen = rows.groupBy("band").agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).collect()  # a row per band, few thousands at most
-    n_queries = sum(r[2] for r in seen)
-    sizes = []
-    for band, n, _ in seen:
-        probes = min(2 * AXES, max(PROBES, math.ceil(2 * AXES * EXPECTED / n)))
-        cm, cq = max(1, math.ceil(n / (2 * AXES) / ROWS)), max(1, math.ceil(n_queries * probes / (2 * AXES) / QUERIES))
-        sizes.append((band, probes, tables if probes < 2 * AXES else 1, cm, cq))
-    width = max((s[1] for s in sizes), default=PROBES)
-    bands = vectors.sparkSession.createDataFrame(sizes, "band int, probes int, tables int, cm int, cq int")
-
-    def hashed(x: np.ndarray, query: bool) -> np.ndarray:
-        """Signed axes (rows x tables x 1 or width) of vectors, nearest first."""
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        out = []
-        for t in range(tables):
-            r = rotate(unit, t, seed)
-            both = np.concatenate([r, -r], axis=1)
-            out.append(np.argsort(-both, axis=1, kind="stable")[:, :width] if query else both.argmax(axis=1)[:, None])
-        return np.stack(out, axis=1)
-
-    def assign(query: bool):
-        @F.pandas_udf("array<int>")
-        def axes(vs: pd.Series) -> pd.Series:
-            out = np.empty(len(vs), object)
-            size = vs.map(len).to_numpy()
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                found = hashed(np.stack([vs.iloc[i] for i in at]).astype(float), query)
-                codes = (found + (np.arange(tables) * 2 * AXES)[None, :, None]).reshape(len(at), -1).astype(np.int32)
-                for i, c in zip(at, codes):
+    seen = rows.groupBy("d", "band").count().collect()  # a row per length and band of norms, some thousand bands at most
+    sizes = [(d, band, bits_of(n), probes_of(bits_of(n)), tables_of(bits_of(n), tables)) for d, band, n in seen]
+    bands = vectors.sparkSession.createDataFrame(sizes, "d int, band int, bits int, probes int, tables int")
+
+    @F.pandas_udf("array<long>")
+    def assign(vs: pd.Series, bits: pd.Series, probes: pd.Series, tables: pd.Series) -> pd.Series:
+        out = np.empty(len(vs), object)
+        shape = pd.DataFrame({"d": vs.map(len).to_numpy(), "bits": bits, "probes": probes, "tables": tables})
+        for (_, b, p, t), at in shape.groupby(["d", "bits", "probes", "tables"]).indices.items():
+            step = max(1, 2_000_000 // (int(p) * 2 * AXES))
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                for i, c in zip(part, cells(np.stack([vs.iloc[i] for i in part]).astype(float), int(b), int(p), int(t), seed)):
                     out[i] = c
-            return pd.Series(out)
-
-        return axes
+        return pd.Series(out)
 
     first = Window.partitionBy("v").orderBy("id")
-    distinct = rows.select("id", "v", "band").distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
-    index = distinct.withColumn("axes", assign(False)("v")).join(F.broadcast(bands), "band").select(
-        "band", F.explode(F.slice("axes", 1, F.col("tables"))).alias("axis"), F.lit(False).alias("q"), "id", "v", "cq",
-        F.pmod(F.xxhash64("id"), F.col("cm")).cast("int").alias("m"),
-    ).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cq") - 1)))
-    probed = F.expr("flatten(transform(sequence(0, tables - 1), t -> slice(axes, t * width + 1, probes)))")
-    queries = rows.where("q").select("id", "v").distinct().withColumn("axes", assign(True)("v"))
-    queries = queries.withColumn("width", (F.size("axes") / tables).cast("int")).crossJoin(F.broadcast(bands)).select(
-        "band", F.explode(probed).alias("axis"), F.lit(True).alias("q"), "id", "v", "cm",
-        F.pmod(F.xxhash64("id"), F.col("cq")).cast("int").alias("c"),
-    ).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)))
-    columns = [F.size("v").alias("d"), "band", "axis", "m", "c", "q", "id", "v"]
-    both = index.select(*columns).unionByName(queries.select(*columns))
+    distinct = rows.select("id", "v", "d", "band").distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
+    one = F.lit(1)
+    index = distinct.join(bands, ["d", "band"]).select("d", "band", "id", "v", assign("v", "bits", one, "tables").alias("cells"))
+    queries = rows.where("q").select("id", "v", "d").distinct().join(bands, "d").select("d", "band", "id", "v", assign("v", "bits", "probes", "tables").alias("cells"))
+    index, queries = common.staged(index, "vector-cells"), common.staged(queries, "query-cells")
+    cell = ["d", "band", "cell"]
+    index, queries = (t.select("d", "band", F.explode("cells").alias("cell"), "id", "v") for t in (index, queries))
+    sizes = index.select(*cell, F.lit(1).alias("m"), F.lit(0).alias("c")).unionByName(queries.select(*cell, F.lit(0).alias("m"), F.lit(1).alias("c")))
+    sizes = sizes.groupBy(*cell).agg(F.ceil(F.sum("m") / ROWS).cast("int").alias("cm"), F.ceil(F.sum("c") / QUERIES).cast("int").alias("cq"))
+    hot = common.staged(sizes.where("cm > 1 or cq > 1"), "hot-cells")  # most cells are not
+
+    def dealt(t: DataFrame, query: bool) -> DataFrame:
+        """Rows of a hot cell go to one of its chunks of rows for each of its chunks of queries, and queries the other way round."""
+        own, other = ("cq", "cm") if query else ("cm", "cq")
+        t = t.join(hot, cell, "left").withColumn("own", F.pmod(F.xxhash64("id", F.hash("v")), F.greatest(F.coalesce(own, F.lit(1)), F.lit(1))).cast("int"))
+        t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(other, F.lit(1)), F.lit(1)) - 1)))
+        return t.select(*cell, F.col("other" if query else "own").alias("m"), F.col("own" if query else "other").alias("c"), F.lit(query).alias("q"), "id", "v")
+
+    both = dealt(index, False).unionByName(dealt(queries, True))
 
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
         is_q = rows["q"].to_numpy()
@@ -154,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
             out.append(hits[hits.groupby("row").cumcount() < k].drop(columns="row"))
         return pd.concat(out).drop_duplicates()
 
-    found = both.groupBy("d", "band", "axis", "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")
+    found = both.groupBy(*cell, "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -165,7 +205,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(common.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-#: The exact answer, which the search equals on tables of up to 2000 rows, where every axis is probed.
+#: The exact answer, which the search equals on tables of up to ``2 * CELL`` rows, which have two cells at most.
 ORACLE_SQL = """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),

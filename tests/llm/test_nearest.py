@@ -88,7 +88,7 @@ def test_repeated_rows_take_no_places(spark):
 @pytest.mark.parametrize("norms", ["outlier", "varied"])
 def test_recall_with_uneven_norms(spark, norms):
     rng = np.random.default_rng(3)
-    n = 24_000  # above 23,272 rows a query probes 11 axes in a table
+    n = 24_000  # a query probes 12 of 128 cells in a table where all norms are alike
     x = rng.normal(size=(n, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if norms == "outlier":
@@ -105,3 +105,53 @@ def test_recall_with_uneven_norms(spark, norms):
         recall.append(len(set(np.argsort(-s)[:20].tolist()) & {j for j, _ in got[q]}) / 20)
     print(norms, np.mean(recall))
     assert np.mean(recall) >= 0.9
+
+
+def test_share_of_rows_met_falls_as_the_table_grows():
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (1_000, 4_000, 16_000, 64_000):
+        x = rng.normal(size=(n, 32))
+        bits = nearest.bits_of(n)
+        tables, probes = nearest.tables_of(bits), nearest.probes_of(bits)
+        own, probed = nearest.cells(x, bits, 1, tables), nearest.cells(x[:30], bits, probes, tables)
+        assert own.shape == (n, tables) and probed.shape == (30, tables * probes)
+        assert all(len(set(p)) == len(p) for p in probed.tolist()) and (own[:30, 0] == probed[:, 0]).all()
+        assert ((own & ((1 << nearest.SHIFT) - 1)) < 1 << bits).all()
+        shares.append(np.mean([np.isin(own, p).any(axis=1).mean() for p in probed]))
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.6 * shares[0]
+
+
+def test_probes_are_the_best_sums_of_their_polytopes():
+    x = np.random.default_rng(8).normal(size=(5, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    parts = list(nearest._polytopes(unit, 9, 0, nearest.SEED))
+    assert [p.shape[1] for p in parts] == [32, 16]
+    found = nearest.cells(x, 9, 23, 1)
+    for i in range(5):
+        cost = [[(p[i].max() - v) ** 2 for v in p[i]] for p in parts]
+        every = sorted((a + b, 16 * j + k) for j, a in enumerate(cost[0]) for k, b in enumerate(cost[1]))
+        assert set(found[i].tolist()) == {c for _, c in every[:23]}
+
+
+def test_repeated_rows_take_no_places_where_rows_are_hashed(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6_000, 16)).astype(np.float32)
+    rows = [(i, x[0] if 1 <= i <= 25 else x[i]) for i in range(6_000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>")
+    alike = df.where("vec_id between 1 and 25")
+    df = df.unionByName(alike).unionByName(alike)
+    got = found(nearest.search(df, F.col("vec_id") == 0))
+    assert nearest.probes_of(nearest.bits_of(6_000)) < 1 << nearest.bits_of(6_000)
+    assert [j for j, _ in got[0]] == list(range(1, 21))
+
+
+def test_hot_cells_are_dealt_out_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2_400, 12))
+    x[:800] = x[0] + rng.normal(size=(800, 12)) * 1e-3  # a third of all rows in a cell
+    df = frame(spark, list(enumerate(x.astype(np.float32))))
+    want = found(nearest.search(df, F.col("vec_id") % 20 == 0))
+    monkeypatch.setattr(nearest, "ROWS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 16)
+    assert found(nearest.search(df, F.col("vec_id") % 20 == 0)) == want
