@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of every contract: runs of anything but ASCII white space. ``bytes.split()`` is this rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,5 +49,32 @@ def n_words(col: Column) -> Column:
 
 
 def row_uid(docs: DataFrame) -> Column:
-    """A 64-bit digest of all columns of a row (maps, which cannot be hashed, aside)."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in sorted(docs.schema, key=lambda f: f.name) if "map<" not in f.dataType.simpleString()])
+    """A 128-bit digest, as 32 hexadecimal digits, of all columns of a row. Null differs from every value,
+    and nested columns and maps count with all that they hold."""
+
+    def piece(field: T.StructField) -> Column:
+        col = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            stamps = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+            value = F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"} | stamps)
+        else:
+            value = col if isinstance(field.dataType, T.BinaryType) else col.cast("string")
+        return F.when(col.isNull(), F.lit("-")).otherwise(F.md5(value.cast("binary")))
+
+    return F.md5(F.concat_ws(",", *[piece(f) for f in sorted(docs.schema, key=lambda f: f.name)]).cast("binary"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(uid, row): each distinct row of ``docs`` once. Rows alike in every column meet before the shuffle."""
+    return docs.select(row_uid(docs).alias("uid"), F.struct("*").alias("row")).groupBy("uid").agg(F.first("row").alias("row"))
+
+
+def repeated(counted: DataFrame, n: str, i: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row of ``counted`` (with ``uid``) as often as its column ``n`` says, numbered from 0 as ``i``. What is
+    repeated very often is dealt over many tasks first."""
+    few = counted.where(F.col(n).between(1, chunk)).withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)))
+    many = counted.where(F.col(n) > chunk)
+    if many.isEmpty():
+        return few
+    many = many.withColumn(i, F.explode(F.expr(f"sequence(0L, bigint(`{n}` - 1), {chunk}L)"))).repartition("uid", i)
+    return few.unionByName(many.withColumn(i, F.explode(F.expr(f"sequence(`{i}`, least(`{i}` + {chunk}L, bigint(`{n}`)) - 1)"))))

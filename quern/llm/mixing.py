@@ -12,7 +12,8 @@ level, until one block per source is left. Its two last documents land on the ro
 the word total least. So a source misses its target by half of one of its documents at most.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in
-order; repeated rows are drawn one by one; with no words at all every target is 0; an empty table
+order; repeated rows are drawn one by one, whatever their number; texts of any length are only counted;
+sources of equal level are filled in code point order; with no words at all every target is 0; an empty table
 gives no rows. Other columns are ignored. Draws depend on the rows and the seed alone, not on how
 rows are dealt to tasks.
 """
@@ -32,8 +33,8 @@ from quern.llm import common
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 SEED = 20
-#: Documents of one source in a block of the first level, blocks that meet in one of the next, copies of the source table in joins.
-BLOCK, MEET, SALT = 512, 128, 16
+#: Documents of one source in a block of the first level, blocks that meet in one of the next.
+BLOCK, MEET = 512, 128
 EPS = 1e-9
 
 
@@ -97,7 +98,7 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _fly(level: int, last: bool, seed: int):
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["uid", "doc_id", "size"], kind="stable")
+        rows = rows.sort_values(["uid", "i"], kind="stable")
         rng = np.random.default_rng(xxhash.xxh64_intdigest(repr((seed, level, key[0], int(key[1]))).encode()))
         size = rows["size"].to_numpy(dtype=float)
         p = flight(size, rows["p"].to_numpy(dtype=float), rng)
@@ -107,25 +108,29 @@ def _fly(level: int, last: bool, seed: int):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, uid (digest of the row), size, source_size, target and copies of each row of ``docs``."""
-    rows = common.staged(
-        docs.select(
-            "doc_id", common.null_safe(F.col("source")).alias("skey"), common.n_words(F.col("text")).alias("size"), common.row_uid(docs).alias("uid")
-        ),
-        "mix-rows",
-    )
-    per_source = common.staged(rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "mix-sources")
+    """doc_id, uid (digest of the row), i (number among its like), size, source_size, target and copies of each row of ``docs``."""
+    kind = docs.schema["doc_id"].dataType
+    slim = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), common.null_safe(F.col("source")).alias("skey"),
+        common.n_words(F.col("text")).alias("size"), common.row_uid(docs).alias("uid"),
+    )
+    # rows alike in every column are counted, and told apart by a number
+    counted = common.staged(slim.groupBy("doc_id", "skey", "size", "uid").agg(F.count(F.lit(1)).alias("n")), "mix-rows")
+    per_source = counted.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    per_source = common.staged(per_source, "mix-sources")
     blocks = per_source.agg(F.max("blocks")).first()[0] or 1  # of the largest source
+    salt = max(16, min(1024, blocks // 64))  # copies of the source table that the rows of a source are dealt over
     sources = allot(per_source, weights, share, cap)
-    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
-        rows.withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int"))
+        common.repeated(counted, "n", "i")
+        .withColumn("salt", F.pmod(F.xxhash64("uid", "i"), F.lit(salt)).cast("int"))
         .join(salted, ["skey", "salt"])
         .withColumn("whole", F.floor(rate + EPS).cast("int"))
         .withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-        .withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("blocks")))
-        .select("doc_id", "uid", "skey", "block", "size", "source_size", "target", "whole", "p")
+        .withColumn("block", F.pmod(F.xxhash64("uid", "i", F.lit(seed)), F.col("blocks")))
+        .select("doc_id", "uid", "i", "skey", "block", "size", "source_size", "target", "whole", "p")
     )
     done, level = [], 0
     while True:
@@ -139,17 +144,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "uid", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "uid", "i", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` (of the same table) takes it. Rows alike in every column
-    share what is taken of them as evenly as whole numbers allow."""
-    taken = mixed.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")).where("c > 0")
-    rows = docs.select(F.struct("*").alias("row"), common.row_uid(docs).alias("uid")).join(taken, "uid")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("uid").orderBy("uid")))
-    times = F.expr("int(floor(i * c / n) - floor((i - 1) * c / n))")
-    return rows.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+    """``docs`` with each row as often as ``mixed`` (of the same table) takes it and its like together."""
+    taken = mixed.groupBy("uid").agg(F.sum("copies").alias("c")).where("c > 0")
+    taken = common.repeated(common.staged(taken, "taken"), "c", "i").select("uid")
+    return common.whole_rows(docs).join(taken, "uid").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,16 @@ shuffle key (or by fraction), counts per bucket give each bucket's first rank, a
 within their bucket. A source that holds a third of all rows is 4096 buckets like any other.
 
 Defined cases: a null source is a stratum of its own, after the others; a null text has size 8 and
-crc32 0, as the empty text; a null id shuffles as the empty id; repeated rows each get a place; an
-empty table gives no rows. Other columns are ignored, whatever their names.
+crc32 0, as the empty text; a null id shuffles as the empty id, and rows without one are dealt into
+buckets by the checksum of their text; rows with equal shuffle keys are ordered by id, checksum and size;
+repeated rows each get a place; of a text only its length and checksum are moved, however long it is; an
+empty table gives no rows. Other columns are ignored, whatever their names; ``place`` keeps them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +31,12 @@ N_SHARDS = 24
 HEX, BUCKETS = 3, 16**3
 
 
-def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, text_crc32, shard and slot of every row of ``docs`` (doc_id, text, source)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED, uid: bool = False) -> DataFrame:
+    """doc_id, source, size, text_crc32, shard and slot of every row of ``docs`` (doc_id, text, source), and the
+    digest of the row (``common.row_uid``) if asked for."""
+    text, more = F.coalesce(F.col("text"), F.lit("")), ["uid"] if uid else []
+    nobody = F.lit(hashlib.md5(f"{seed}:".encode()).hexdigest())  # the shuffle key of null ids, whose buckets are cut by checksum
+    within = F.when(F.col("h") < nobody, 0).when(F.col("h") > nobody, 4097).otherwise(F.shiftright("text_crc32", 20) + 1)
     keyed = docs.select(
         "doc_id",
         "source",
@@ -37,7 +44,8 @@ def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> D
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("b", F.conv(F.substring("h", 1, HEX), 16, 10).cast("int"))
+        *([common.row_uid(docs).alias("uid")] if uid else []),
+    ).withColumn("b", (F.conv(F.substring("h", 1, HEX), 16, 10).cast("long") * 4098 + within))
 
     per_source = Window.partitionBy("skey")
     strata = (
@@ -55,7 +63,7 @@ def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> D
         .withColumn("rank", F.col("before") + F.row_number().over(in_bucket) - 1)
         .withColumn("fraction", (F.col("rank").cast("double") + offset) / F.col("n_source").cast("double"))
         .withColumn("g", F.least(F.floor(F.col("fraction") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-        .select("doc_id", "source", "size", "text_crc32", "skey", "rank", "fraction", "g")
+        .select("doc_id", "source", "size", "text_crc32", "skey", "rank", "fraction", "g", *more)
     )
     ranked = common.staged(ranked, "shard-ranks")
 
@@ -73,10 +81,18 @@ def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> D
     return placed.withColumn("shard", F.expr(f"(pos * {n_shards}) div total")).select(
         "doc_id", "source", "size", "text_crc32",
         F.col("shard").cast("int").alias("shard"),
-        F.expr(f"pos - (shard * total + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"),
+        F.expr(f"pos - (shard * total + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"), *more,
     )
 
 
+def place(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> DataFrame:
+    """Every row of ``docs`` with all its columns, and its shard and slot. Columns of ``docs`` that have these names
+    already are kept as ``input_shard`` and ``input_slot``."""
+    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c.lower() in ("shard", "slot")})
+    placed = interleave(docs, n_shards, seed, uid=True).select("uid", "shard", "slot")
+    return common.whole_rows(docs).join(placed, "uid").select("row.*", "shard", "slot")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents into 24 shards under the law ``rows``."""
     return digest(interleave(common.read_table(spark, sf_dir, "documents")))

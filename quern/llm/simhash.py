@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -216,9 +216,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows, roots = fingerprinted(docs)
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
     kept = least_of(rows, roots, first).select(F.col("least.uid").alias("uid")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), common.row_uid(docs).alias("uid")).join(kept, "uid", "left_semi")
-    once = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
-    return rows.withColumn("i", once).where("i = 1").select("row.*")
+    return common.whole_rows(docs).join(kept, "uid", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

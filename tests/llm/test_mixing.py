@@ -79,8 +79,7 @@ def test_pipeline(spark):
     for name, stage in cp.STAGES:
         out = common.staged(stage(spark, docs, SF), name)
         assert 0 < out.count() <= 2 * docs.count()
-        if name != "shard":
-            assert out.columns == docs.columns
+        assert out.columns == docs.columns + (["shard", "slot"] if name == "shard" else [])
         docs = out
     assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
     few = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
@@ -88,3 +87,52 @@ def test_pipeline(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, few.limit(0), SF).count() == 0
         assert stage(spark, clash, SF).count() == stage(spark, few, SF).count()
+
+
+def test_row_identity(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(
+        [("en", None, {"a": 1}, [1, None]), (None, "en", {"a": 1}, [1, None]), ("en", None, {"a": 2}, [1, None]), ("en", None, {"a": 1}, [None, 1]), ("en", None, None, [1, None]), ("en", None, {"a": 1}, [1, None])],
+        "lang string, source string, m map<string,int>, v array<int>",
+    )
+    got = [r.uid for r in rows.select(common.row_uid(rows).alias("uid")).collect()]
+    assert len(set(got)) == 5 and got[0] == got[5] and all(len(u) == 32 for u in got)
+    assert common.whole_rows(rows).count() == 5
+    counted = spark.createDataFrame([("a", 7), ("b", 0), ("c", 1)], "uid string, n int")
+    assert sorted((r.uid, r.i) for r in common.repeated(counted, "n", "i", 3).collect()) == [("a", i) for i in range(7)] + [("c", 0)]
+    mixed = spark.createDataFrame([(got[0], 2), (got[5], 0), (got[1], 1)], "uid string, copies int")
+    out = mixing.repeat_rows(rows, mixed).groupBy(F.col("lang").alias("l"), "source").count().collect()
+    assert sorted(map(str, out)) == sorted(map(str, [type(out[0])(l="en", source=None, count=2), type(out[0])(l=None, source="en", count=1)]))
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 60) + 1
+    got = mixing.mix(docs(spark, [(big, "a b c", "s"), (None, "a b", "s"), (big + 1, "x", "s")])).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["None", str(big), str(big + 1)])
+
+
+def test_query_against_brute_force(spark):
+    """Sizes, targets and bounds of every row of a whole table, and the totals of sources, from plain Python."""
+    import re
+
+    from tests.conftest import SF
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    names = sorted({r.source for r in rows if r.source is not None}, key=lambda s: [ord(c) for c in s]) + [None] * any(r.source is None for r in rows)
+    total = {s: sum(size[r.doc_id] for r in rows if r.source == s) for s in names}
+    target = dict(zip(names, water([total[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))])))
+    source = {r.doc_id: r.source for r in rows}
+    got = mixing.query(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    taken, count, expected = dict.fromkeys(names, 0), dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    for r in got:
+        s = source[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == total[s] and r.target == pytest.approx(target[s])
+        assert r.taken == r.copies * r["size"] <= 2 * r["size"] and r.copies in (int(target[s] / total[s] + 1e-9), int(target[s] / total[s] + 1e-9) + 1)
+        taken[s] += r.taken
+        count[s] += r.copies
+        expected[s] += target[s] / total[s]
+    most = {s: max(size[i] for i in size if source[i] == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 and abs(count[s] - expected[s]) <= 2 for s in names)

@@ -32,3 +32,14 @@ def test_empty_and_fewer_rows_than_shards(spark):
     assert sharding.interleave(docs(spark, [])).count() == 0
     got = sharding.interleave(docs(spark, [(1, "a", "x"), (2, None, "y")])).collect()
     assert len({r.shard for r in got}) == 2 and {r.slot for r in got} == {0}
+
+
+def test_place_keeps_rows_and_many_null_ids_are_dealt_out(spark):
+    rows = [(None if i % 3 == 0 else i, f"t {i % 200}", f"s{i % 2}") for i in range(600)] + [(None, "same", "s0")] * 5
+    d = docs(spark, rows).withColumnRenamed("b", "Shard")
+    got = sharding.place(d, 6)
+    assert got.columns == [c if c != "Shard" else "input_Shard" for c in d.columns] + ["shard", "slot"]
+    got = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    plain = Counter((r.doc_id, r.source, r.text_crc32, r["size"], r.shard, r.slot) for r in sharding.interleave(d, 6).collect())
+    assert plain == Counter((r.doc_id, r.source, zlib.crc32(r.text.encode()), len(r.text) + 8, r.shard, r.slot) for r in got)
