@@ -2,7 +2,8 @@
 
 Language identification rejects documents without a language; SimHash keeps one document of each
 group of near copies; decontamination drops documents into which a benchmark item leaks; mixing
-repeats or leaves out documents so that sources meet their targets; sharding places every row.
+repeats or leaves out documents so that sources meet their targets; sharding places every row,
+which keeps its columns and gains shard and slot.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.interleave(docs)
+    return sharding.place(docs)
 
 
 STAGES = [
