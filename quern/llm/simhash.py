@@ -13,8 +13,13 @@ distinct fingerprints reach is split by the other half, which differs in three b
 its four bytes agrees. Per anchor only a spanning forest of the links leaves the task, never all
 pairs. Components come from alternating large and small stars over staged tables.
 
+``dedup``, the pipeline's stage, links texts by five-word similarity: the same covering over longer
+fingerprints finds candidates, which are confirmed by their sets of shingles (see there).
+
 Defined cases: null, empty and blank texts have fingerprint 0 and link like any other; fewer words
-than three give one shingle; repeated rows share a component; a component whose ids are all null has
+than three give one shingle; texts of any length are read whole, piece by piece; a bit on which exactly
+half of the hashes agree is 0; the smallest id stands for a component, among rows of one id that with the
+least digest; repeated rows share a component; a component whose ids are all null has
 a null id; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -34,6 +39,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bytes of a text that are cut into words at once, and fingerprints from which an anchor is split.
 PIECE, HOT = 1 << 20, 4096
 CODE = 31
+#: The pipeline's stage: words of a long fingerprint, differing bits of its first 128 up to which a pair is a candidate,
+#: and words of a shingle and similarity of what is confirmed.
+SKETCH, NEAR, CONFIRM, LEAST = 3, 22, 5, 0.8
+MIX = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9)
 
 
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -78,10 +87,12 @@ def fingerprints(text: Column) -> Column:
     return take(text)
 
 
-def _to_anchors(fps: DataFrame) -> DataFrame:
-    """(half, anchor, fp, home) for each anchor that a fingerprint is copied to; positions in the code are 1 to 31."""
-    half = F.explode(F.array(F.lit(0), F.lit(32))).alias("half")
-    x = fps.select("fp", half).withColumn("x", F.expr(f"shiftrightunsigned(fp, half) & {2**CODE - 1}L"))
+def _to_anchors(fps: DataFrame, words: list[str], parts: int) -> DataFrame:
+    """(half, anchor, *words, home) for each anchor that a fingerprint of 64-bit ``words`` is copied to. Its ``parts``
+    halves begin at bits 0, 32, 64, ...; positions in the code are 1 to 31."""
+    half = F.explode(F.array(*[F.lit(32 * k) for k in range(parts)])).alias("half")
+    word = f"element_at(array({', '.join(words)}), int(half div 64) + 1)" if len(words) > 1 else words[0]
+    x = fps.select(*words, half).withColumn("x", F.expr(f"shiftrightunsigned({word}, half % 64) & {2**CODE - 1}L"))
     masks = [sum(1 << (i - 1) for i in range(1, CODE + 1) if i >> k & 1) for k in range(5)]
     syndrome = " + ".join(f"(bit_count(x & {m}L) & 1) * {1 << k}" for k, m in enumerate(masks))
     x = x.withColumn("s", F.expr(f"cast({syndrome} as int)"))
@@ -90,7 +101,7 @@ def _to_anchors(fps: DataFrame) -> DataFrame:
         f"transform(filter(sequence(1, {CODE}), i -> s > 0 and i < (i ^ s)), "
         "i -> struct(x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1) as anchor, false as home))"
     )
-    return x.withColumn("to", F.explode(F.expr(f"concat(array({home}), {others})"))).select("half", "to.anchor", "fp", "to.home")
+    return x.withColumn("to", F.explode(F.expr(f"concat(array({home}), {others})"))).select("half", "to.anchor", *words, "to.home")
 
 
 def _forest(fps: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
@@ -113,11 +124,31 @@ def _forest(fps: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by anchor; one anchor's rows may reach over batches."""
-    names = ["half", "anchor", "part", "value"]
+def _whole(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole groups, and where each group starts. Rows come sorted by ``names``; a group's may reach over batches."""
+    left: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[names].to_numpy()
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if left and (left[-1][names].to_numpy()[-1] != keys[0]).any():
+            whole = pd.concat(left, ignore_index=True)
+            yield whole, _starts(whole[names].to_numpy())
+            left = []
+        if not len(new):
+            left.append(batch)
+            continue
+        head = pd.concat([*left, batch.iloc[: new[-1]]], ignore_index=True)
+        yield head, _starts(head[names].to_numpy())
+        left = [batch.iloc[new[-1] :]]
+    if left:
+        whole = pd.concat(left, ignore_index=True)
+        yield whole, _starts(whole[names].to_numpy())
 
-    def compare(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows, starts in _whole(batches, ["half", "anchor", "part", "value"]):
         fps, home = rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy()
         size = np.diff(np.append(starts, len(rows)))
         a, b = [], []
@@ -137,27 +168,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         x, y = fps.view(np.int64)[i], fps.view(np.int64)[j]
         found = pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)}).drop_duplicates()
-        return found[found.u != found.v]
-
-    left: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch[names].to_numpy()
-        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        if left and (left[-1][names].to_numpy()[-1] != keys[0]).any():
-            whole = pd.concat(left, ignore_index=True)
-            yield compare(whole, _starts(whole[names].to_numpy()))
-            left = []
-        if not len(new):
-            left.append(batch)
-            continue
-        head = pd.concat([*left, batch.iloc[: new[-1]]], ignore_index=True)
-        yield compare(head, _starts(head[names].to_numpy()))
-        left = [batch.iloc[new[-1] :]]
-    if left:
-        whole = pd.concat(left, ignore_index=True)
-        yield compare(whole, _starts(whole[names].to_numpy()))
+        yield found[found.u != found.v]
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
@@ -166,7 +177,7 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u > v) between distinct fingerprints ``fp`` that connect all that link."""
-    reach = _to_anchors(fps)
+    reach = _to_anchors(fps, ["fp"], 2)
     hot = reach.groupBy("half", "anchor").count().where(F.col("count") > HOT).select("half", "anchor", F.lit(True).alias("hot"))
     other = "cast(shiftrightunsigned(fp, 32 - half + 8 * i) & 255L as int)"
     parts = F.expr(f"if(hot, transform(sequence(0, 3), i -> struct(i as part, {other} as value)), array(struct(0 as part, -1 as value)))")
@@ -193,8 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, uid, fp) of ``docs``, and (fp, root): a fingerprint of the component of each fingerprint that links."""
-    rows = common.staged(docs.select("doc_id", common.row_uid(docs).alias("uid"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    """Rows (doc_id, fp) of ``docs``, and (fp, root): a fingerprint of the component of each fingerprint that links."""
+    rows = common.staged(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
     roots = components(links(common.staged(rows.select("fp").distinct(), "distinct-fingerprints")))
     return rows, roots.withColumnRenamed("node", "fp")
 
@@ -206,16 +217,150 @@ def least_of(rows: DataFrame, roots: DataFrame, value: Column) -> DataFrame:
 
 
 def label(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, fp and root of every row of ``docs``."""
+    """doc_id, fp and root of every row of ``docs``."""
     rows, roots = fingerprinted(docs)
     return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles of ``n`` words (fewer words: one shingle; none: none), sorted."""
+    words = [w for part in _pieces((text or "").encode().lower()) for w in part]
+    if not words:
+        return np.zeros(0, np.uint64)
+    known: dict[bytes, int] = {}
+    h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in words), np.uint64, len(words))
+    n = min(n, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(MIX[0]) + h[k : k + len(out)]
+    return np.unique(_mixed(out))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for m in MIX[1:]:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(m)
+    return h ^ (h >> np.uint64(32))
+
+
+def sketch(text: str | None) -> list[int]:
+    """A long fingerprint of a text as SKETCH words of 64 bits; no words: zero."""
+    h, out = shingles(text, SHINGLE), []
+    for k in range(SKETCH):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 14):
+            part = _mixed(h[i : i + (1 << 14)] + np.uint64((k + 1) * MIX[0] % (1 << 64)))
+            ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _least_tree(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The links of a minimum spanning forest, by differing bits, of one group (Prim's method)."""
+    n, out = len(a), []
+    away, near, open_, at = np.full(n, 255, np.int64), np.zeros(n, np.int64), np.ones(n, bool), 0
+    for _ in range(n - 1):
+        open_[at] = False
+        d = (np.bitwise_count(a ^ a[at]) + np.bitwise_count(b ^ b[at])).astype(np.int64)
+        closer = open_ & (d < away)
+        away[closer], near[closer] = d[closer], at
+        at = int(np.where(open_, away, 256).argmin())
+        if away[at] <= NEAR:
+            out.append((at, int(near[at])))
+    return out
+
+
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of a minimum spanning forest of each anchor's sketches, by the first 128 bits."""
+    for rows, starts in _whole(batches, ["key", "part", "value"]):
+        a, b = (rows[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+        size = np.diff(np.append(starts, len(rows)))
+        owner = np.repeat(np.arange(len(starts)), size)
+        small, found = (size <= 64)[owner], []
+        for d in range(1, min(64, int(size.max(initial=1)))):
+            i = np.flatnonzero((owner[d:] == owner[:-d]) & small[d:])
+            if not len(i):
+                break
+            away = np.bitwise_count(a[i] ^ a[i + d]) + np.bitwise_count(b[i] ^ b[i + d])
+            i, away = i[away <= NEAR], away[away <= NEAR]
+            found.append(np.stack([away.astype(np.int64), i, i + d]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := parent.get(i, i)) != i:
+                parent[i] = i = parent.get(up, up)
+            return i
+
+        edges = []
+        for i, j in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
+            x, y = root(i), root(j)
+            if x != y:
+                parent[x] = y
+                edges.append((i, j))
+        for g in np.flatnonzero(size > 64):
+            s = starts[g]
+            edges += [(s + i, s + j) for i, j in _least_tree(a[s : s + size[g]], b[s : s + size[g]])]
+        i, j = np.array(edges, np.int64).reshape(-1, 2).T
+        a, b = a.view(np.int64), b.view(np.int64)
+        yield pd.DataFrame({"ua": a[i], "ub": b[i], "va": a[j], "vb": b[j]}).drop_duplicates()
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """Candidate links (u > v, nodes by name) between sketches (a, b, c), to be confirmed."""
+    reach = _to_anchors(nodes, list("abc"), 2 * SKETCH).select(F.expr("shiftleft(bigint(half), 32) | anchor").alias("key"), "a", "b")
+    hot = reach.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    byte = "cast(shiftrightunsigned(if(i < 8, a, b), 8 * (i % 8)) & 255L as int)"
+    parts = F.expr(f"if(hot, transform(sequence(0, 15), i -> struct(i as part, {byte} as value)), array(struct(0 as part, -1 as value)))")
+    rows = reach.join(hot, "key", "left").select("key", "a", "b", F.explode(parts).alias("p")).select("key", "p.part", "p.value", "a", "b")
+    rows = rows.repartition("key", "part", "value").sortWithinPartitions("key", "part", "value")
+    found = rows.mapInPandas(_near, "ua long, ub long, va long, vb long")
+    u, v = _name("ua", "ub"), _name("va", "vb")
+    return found.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
+
+
+def _name(a: str, b: str) -> Column:
+    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, least): distinct sketches of ``docs`` and the least row of each, as (id is null, id, row digest); and
+    (node, root) of the nodes that confirmed links join."""
+
+    @F.pandas_udf("a long, b long, c long")
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([sketch(t) for t in texts], np.int64).reshape(-1, SKETCH), columns=list("abc"))
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, CONFIRM).view(np.int64) for t in texts], dtype=object)
+
+    uid = common.row_uid(docs).alias("uid")
+    rows = common.staged(docs.select("doc_id", uid, sketches("text").alias("s")).select("doc_id", "uid", "s.*"), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("least")
+    nodes = common.staged(rows.groupBy("a", "b").agg(F.min("c").alias("c"), least), "sketch-nodes")
+    edges = common.staged(near_links(nodes), "near-links")
+    named = nodes.select(_name("a", "b").alias("node"), "least")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = named.join(ends, "node").select("node", F.col("least.uid").alias("uid"))
+    held = docs.select(uid, "text").join(ends, "uid").dropDuplicates(["uid"]).select("node", sets("text").alias("held"))
+    held = common.staged(held, "shingle-sets")
+    both = edges.join(held.select(F.col("node").alias("u"), F.col("held").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    alike = both.where(F.col("common") >= LEAST * (F.size("x") + F.size("y") - F.col("common")) - 1e-9)
+    return named, components(alike.select("u", "v"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component, with the columns of ``docs``."""
-    rows, roots = fingerprinted(docs)
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    kept = least_of(rows, roots, first).select(F.col("least.uid").alias("uid")).distinct()
+    """The row with the smallest doc_id of every group of near copies, with the columns of ``docs``.
+
+    Near copies have a Jaccard similarity of LEAST or more between their sets of five-word shingles. Candidates
+    are found by covering anchors over long fingerprints, with a wider radius than that of ``links``: six halves of
+    31 bits, all that meet at an anchor within two bits compared. Each anchor keeps a minimum spanning forest of
+    its candidates, so two texts are joined if a path of the closest of them holds, and every link of it is
+    confirmed exactly. Texts with equal 128-bit fingerprints are one."""
+    nodes, roots = near_copies(docs)
+    groups = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
     return common.whole_rows(docs).join(kept, "uid", "left_semi").select("row.*")
 
 
