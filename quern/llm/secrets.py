@@ -7,9 +7,15 @@ words. It is trained here, on a bounded set of labelled findings (``TRAIN`` rows
 generator writes: true keys, passwords and tokens, and the usual false ones (checksums, commit ids,
 identifiers, paths, card and phone numbers, placeholders).
 
-Each task scans whole documents on its own; only the forest, of fixed size, is sent to the tasks.
+The dictionary is learned from the corpus: document frequencies of all its words, hashed to BUCKETS
+counters; words in COMMON of all documents, and in three at least, are in it, beside the fixed code words.
 
-Defined cases: null and empty texts have no finding; a secret that occurs twice is two findings;
+Each task scans whole documents on its own; only the forest and the dictionary's bits, both of fixed
+size, are sent to the tasks.
+
+Defined cases: null and empty texts have no finding; a secret that occurs twice is two findings; values of
+any length are whole, private keys with all their lines; where candidates overlap, formats go before
+assignments and those before long runs, earlier ones first; a score of exactly SCORE is a finding;
 repeated rows each give theirs; very long texts are scanned whole; an empty table gives no rows.
 Other columns are ignored. Findings carry a digest of the secret, not the secret.
 """
@@ -19,6 +25,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +37,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 TRAIN, TREES, DEPTH, SEED, SCORE = 4000, 40, 9, 11, 0.5
+#: Counters of the dictionary, and the share of documents from which a word is in it.
+BUCKETS, COMMON = 1 << 20, 1e-5
 
 # Public key formats, and words that stand near secrets or near what only looks like one.
 FORMATS = [
@@ -36,7 +46,7 @@ FORMATS = [
     ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
     ("slack_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google_key", r"\bAIza[0-9A-Za-z_-]{35}\b"),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
 ]
 NAMES = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential"]
 NEAR_TRUE = {"password", "passwd", "pwd", "secret", "token", "apikey", "api", "key", "access", "auth", "bearer", "credential", "credentials", "login", "private"}
@@ -53,6 +63,7 @@ _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[\w-]{0,32}(?:" + "|".join(map(re.esca
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}(?![A-Za-z0-9+/_=\-])")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 _NEAR = re.compile(r"[A-Za-z0-9]+")
+_TOKENS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,}(?![A-Za-z0-9])")
 
 FEATURES = ["format", "assigned", "length", "digits", "upper", "lower", "other", "transitions", "hexadecimal", "distinct", "vowels", "dictionary", "path", "dots", "address", "near_true", "near_false", "grouped"]
 
@@ -60,11 +71,13 @@ FEATURES = ["format", "assigned", "length", "digits", "upper", "lower", "other",
 def candidates(text: str) -> list[tuple[int, str, str]]:
     """(start, rule, value), without overlaps: formats before assignments before long runs."""
     out: list[tuple[int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none of which overlap
 
     def add(start: int, rule: str, value: str) -> None:
-        if value and not any(a < start + len(value) and start < b for a, b in taken):
-            taken.append((start, start + len(value)))
+        end = start + len(value)
+        at = bisect_left(taken, (start, end))
+        if value and (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
             out.append((start, rule, value))
 
     for rule, pattern in _FORMATS:
@@ -81,12 +94,56 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def features(text: str, start: int, rule: str, value: str) -> list[float]:
-    n = len(value)
+class Words:
+    """The dictionary: fixed code words, and hashed words of a corpus."""
+
+    def __init__(self, common: np.ndarray | None = None):
+        self.common = common
+
+    def __contains__(self, word: str) -> bool:
+        return word in DICTIONARY or self.common is not None and len(word) > 2 and bool(self.common[_bucket(word)])
+
+
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents per counter, and of all (counter -1)."""
+    counts, docs, place = np.zeros(BUCKETS, np.int64), 0, {}
+    for batch in batches:
+        for text in batch["text"]:
+            own = set()
+            for w in set(_TOKENS.findall(text or "")):
+                w = w.lower()
+                if (k := place.get(w)) is None:
+                    if len(place) >= 500_000:
+                        place.clear()
+                    k = place[w] = _bucket(w)
+                own.add(k)
+            counts[np.fromiter(own, np.int64, len(own))] += 1
+            docs += 1
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(counts[at], docs)})
+
+
+def learn_words(docs: DataFrame) -> Words:
+    """The dictionary of all of ``docs`` (text). At most BUCKETS numbers reach the driver."""
+    counted = docs.select("text").mapInPandas(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = common.staged(counted, "word-frequencies")
+    total = counted.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
+    found = counted.where((F.col("bucket") >= 0) & (F.col("n") >= max(3, COMMON * total))).select("bucket").toPandas()["bucket"]
+    bits = np.zeros(BUCKETS, bool)
+    bits[found.to_numpy(np.int64)] = True
+    return Words(bits)
+
+
+def features(text: str, start: int, rule: str, value: str, words: Words | None = None) -> list[float]:
+    n, words = len(value), words or Words()
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     count = {k: kinds.count(k) / n for k in "dulo"}
     letters = [c for c in value.lower() if c.isalpha()]
-    covered = sum(len(w) for w in _WORDS.findall(value) if w.lower() in DICTIONARY)
+    covered = sum(len(w) for w in _WORDS.findall(value) if w.lower() in words)
     before, after = text[max(0, start - 48) : start], text[start + n : start + n + 16]
     near = {w.lower() for w in _NEAR.findall(before)[-4:]} | {w.lower() for w in _NEAR.findall(after)[:1]}
     return [
@@ -198,20 +255,22 @@ def train(n: int = TRAIN, seed: int = SEED) -> Forest:
     return Forest(np.array(x), np.array(y))
 
 
-def find(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """A row per secret: doc_id, start (code points), length, rule, secret_sha256, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or train())
+def find(docs: DataFrame, forest: Forest | None = None, words: Words | None = None) -> DataFrame:
+    """A row per secret: doc_id, start (code points), length, rule, secret_sha256, score. The dictionary is that of ``docs``
+    if none is given."""
+    shared = docs.sparkSession.sparkContext.broadcast((forest or train(), words or learn_words(docs)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "missing", "start", "length", "rule", "secret_sha256", "score"]
+        forest, words = shared.value
         for batch in batches:
             rows, x = [], []
             for doc_id, missing, text in zip(batch["doc_id"], batch["missing"], batch["text"]):
                 for start, rule, value in candidates(text or ""):
                     rows.append((doc_id, missing, start, len(value), rule, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()))
-                    x.append(features(text, start, rule, value))
+                    x.append(features(text, start, rule, value, words))
             if rows:
-                score = shared.value.score(np.array(x))
+                score = forest.score(np.array(x))
                 yield pd.DataFrame([(*r, s) for r, s in zip(rows, score.tolist()) if s >= SCORE], columns=names)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
