@@ -6,6 +6,7 @@ import pytest
 from quern.llm import secrets
 from tests.conftest import SF
 
+LARGER = "/root/testdata/sf0.01"  # holds secrets; the smallest table has none
 SCHEMA = "doc_id long, text string, rule string, score int"
 
 
@@ -167,7 +168,7 @@ def test_query_against_brute_force(spark, forest):
     import re
     from collections import Counter
 
-    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = spark.read.parquet(f"{LARGER}/documents.parquet").collect()
     df = Counter(w for r in rows for w in {t.lower() for t in re.findall(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,}(?![A-Za-z0-9])", r.text or "")})
     words = {w for w, n in df.items() if n >= 3} | secrets.DICTIONARY
     want = []
@@ -176,5 +177,5 @@ def test_query_against_brute_force(spark, forest):
             score = float(forest.score(np.array([secrets.features(r.text, start, rule, value, words)]))[0])
             if score >= secrets.SCORE:
                 want.append((r.doc_id, start, len(value), rule, hashlib.sha256(value.encode()).hexdigest(), round(score, 9)))
-    got = [(r.doc_id, r.start, r.length, r.rule, r.secret_sha256, round(r.score, 9)) for r in secrets.query(spark, SF).collect()]
+    got = [(r.doc_id, r.start, r.length, r.rule, r.secret_sha256, round(r.score, 9)) for r in secrets.query(spark, LARGER).collect()]
     assert sorted(got) == sorted(want) and got
