@@ -64,3 +64,49 @@ def test_stretched_notices_are_found_wherever_they_start():
             got = scanner.scan(" ".join(["pad"] * offset + out + ["pad"] * 300))
             assert [(f[0], f[2]) for f in got] == [(name, 1)]
             assert offset <= got[0][3] and got[0][3] + got[0][4] <= offset + len(out)
+
+
+def test_copies_are_counted_wherever_they_start():
+    for name, text in licenses.TEMPLATES.items():
+        scanner, ws = licenses.Scanner({name: text}), licenses.words(text)
+        thin = [w for k, w in enumerate(ws) if len(ws) < 9 or k % 9 != 4]
+        for offset in range(0, len(ws), max(1, len(ws) // 9)):
+            pad = ["pad"] * offset
+            for copies in ([thin], [ws, ws], [ws, ws, thin], [ws, ["pad"] * 7, thin]):
+                got = scanner.scan(" ".join(pad + [w for c in copies for w in c] + ["pad"] * 30))
+                assert [(f[0], f[2]) for f in got] == [(name, sum(c[0] != "pad" for c in copies))], (name, offset, len(copies))
+                assert offset <= got[0][3] and got[0][4] <= len(ws)
+
+
+def test_findings_against_every_window():
+    """A template is found if any window of any place and of a width up to twice its length holds it. Foreign words between
+    change nothing; the template's own words, strewn in, may hide a copy from patience, but never make one."""
+    rng = np.random.default_rng(11)
+    text = licenses.TEMPLATES["Apache-2.0 notice"] + " " + licenses.TEMPLATES["CC-BY-4.0 notice"]
+    template = licenses.words(text)
+    scanner, n = licenses.Scanner({"t": text}), len(template)
+    for k in range(120):
+        noise = ["pad", "zz"] if k % 2 else ["pad", "the", "license", "version"]
+        out = []
+        for i in sorted(rng.choice(n, rng.integers(n // 2, n + 1), replace=False)):
+            out += rng.choice(noise, rng.integers(0, 3)).tolist() + [template[i]]
+        out = ["pad"] * int(rng.integers(0, 2 * n)) + out + rng.choice(noise, rng.integers(0, n)).tolist()
+        every = any(
+            len(licenses.align(out[s:e], template)) >= 0.8 * n
+            for s in range(len(out)) if out[s] in template for e in range(s + 1, min(len(out), s + 2 * n) + 1) if out[e - 1] in template
+        )
+        found = bool(scanner.scan(" ".join(out)))
+        assert found == every if k % 2 else found <= every
+
+
+def test_the_better_of_two_licenses_is_reported():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later"):
+        assert [f[0] for f in scanner.scan("x " * 50 + licenses.TEMPLATES[name] + " y" * 50)] == [name]
+
+
+def test_query_against_single_scans(spark):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    want = [(r.doc_id, *f) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for f in scanner.scan(r.text)]
+    got = [(r.doc_id, r.license, r.coverage, r.times, r.first_word, r.span) for r in licenses.query(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and got
