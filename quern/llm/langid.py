@@ -6,12 +6,19 @@ the proportions, and the set of languages is the one of nested sets (by proporti
 likelihood less half a logarithm of the trigram count for each language. The prediction is the
 language with the largest proportion in that set, the score its proportion.
 
-The model is one row of 65536 numbers per language: bounded by the number of languages, whatever the
-size of the corpus. It is the only thing that is collected and broadcast.
+The model holds, per bucket, the languages that use it and their counts: as many numbers as there are
+pairs of a label and a bucket among the training texts, 65536 a label at most and few for a label that few
+texts have. It is the only thing that is collected and broadcast, as columns. No matrix of all labels is
+made: where there are more than HELD, the mixture of a text is sought among the HELD languages under which
+it is likeliest on its own, so junk labels cost only their own entries.
+
+A text is accepted (``accepted``) if its mixture makes it likelier than noise, that is than trigrams drawn
+evenly from all buckets, by its penalised likelihood.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if
-nothing could be learned; null labels teach nothing; a label ``und`` is a language like any other;
-very long texts are read piece by piece; an empty table gives no rows. Other columns are ignored.
+nothing could be learned (``accepted`` keeps those with a letter then); null labels teach nothing; a label
+``und`` is a language like any other; languages with equal proportions rank by label; very long texts are
+read piece by piece, with the same trigrams; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from quern.llm import common
 
 UNKNOWN = "und"
 D = 1 << 16
-#: Code points read at once, languages counted at once in a task, smoothing, and EM's rounds and precision.
+#: Code points read at once, languages counted at once in a task or mixed in a text, smoothing, and EM's rounds and precision.
 PIECE, HELD, SMOOTH, ROUNDS, CLOSE = 1 << 18, 64, 0.5, 40, 1e-4
 OVERLAP = 3.0  # a letter is in three trigrams, so their likelihood counts a third
 _LETTER: np.ndarray | None = None
@@ -42,14 +49,14 @@ def _letters() -> np.ndarray:
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of a text's trigrams with a letter in the middle; none if it has no letter."""
-    total = None
-    for at in range(0, len(text or ""), PIECE):
-        x = np.frombuffer(f" {text[at : at + PIECE].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    low, total = f" {(text or '').lower()} ", None
+    for at in range(1, len(low) - 1, PIECE):  # with a neighbour on each side
+        x = np.frombuffer(low[at - 1 : at + PIECE + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[x]
         x = np.where(letter, x, 32).astype(np.uint64)
         code = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9))[letter[1:-1]]
         code = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
-        if len(text) <= 20_000:
+        if len(low) <= 20_000:
             return np.unique(code.astype(np.int64), return_counts=True)
         total = np.bincount(code.astype(np.int64), minlength=D) + (0 if total is None else total)
     if total is None:
@@ -76,11 +83,32 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log-probabilities, one row per language, and what inference needs of them."""
+    """Counts of each bucket's languages, and what inference needs of them."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        """Entries: ``n`` trigrams of ``langs[lang]`` in ``bucket``."""
         self.langs = langs
-        self.p = ((counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * D)).astype(np.float32)
+        self.sum = np.bincount(lang, weights=n, minlength=len(langs)) + SMOOTH * D
+        order = np.lexsort([lang, bucket])
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.float32)
+        self.start = np.searchsorted(bucket[order], np.arange(D + 1)).astype(np.int64)
+
+    def _probabilities(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Languages (HELD at most) and their probabilities of the buckets ``at``, which a text has ``n`` times."""
+        size = self.start[at + 1] - self.start[at]
+        column = np.repeat(np.arange(len(at)), size)
+        entry = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[at], size)
+        lang, count = self.lang[entry], self.n[entry].astype(float)
+        few = np.arange(len(self.langs))
+        if len(few) > HELD:
+            fit = np.bincount(lang, weights=n[column] * np.log1p(count / SMOOTH), minlength=len(few)) - n.sum() * np.log(self.sum)
+            few = np.sort(np.argsort(-fit, kind="stable")[:HELD])
+            row = np.searchsorted(few, lang)
+            own = few[np.minimum(row, len(few) - 1)] == lang
+            lang, count, column = row[own], count[own], column[own]
+        p = np.full((len(few), len(at)), SMOOTH)
+        p[lang, column] += count
+        return few, p / self.sum[few, None]
 
     def _em(self, p: np.ndarray, n: np.ndarray, mix: np.ndarray) -> tuple[np.ndarray, float]:
         total = n.sum()
@@ -92,12 +120,14 @@ class Model:
                 break
         return mix, float((n * np.log((mix[:, None] * p).sum(axis=0))).sum()) / OVERLAP
 
-    def infer(self, text: str | None) -> tuple[str, float]:
+    def infer(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, its proportion, and whether the text is likelier than noise."""
         at, n = trigrams(text)
         if not len(at) or not self.langs:
-            return UNKNOWN, 0.0
-        p, n = self.p[:, at].astype(float), n.astype(float)
-        mix, _ = self._em(p, n, np.full(len(self.langs), 1 / len(self.langs)))
+            return UNKNOWN, 0.0, bool(len(at))
+        n = n.astype(float)
+        few, p = self._probabilities(at, n)
+        mix, _ = self._em(p, n, np.full(len(few), 1 / len(few)))
         order = np.argsort(-mix, kind="stable")
         best, penalty = None, 0.5 * np.log(n.sum() + 1)
         for k in range(1, int((mix > 0.01).sum() or 1) + 1):
@@ -107,29 +137,29 @@ class Model:
                 break
             best = (fit - k * penalty, some, share)
         top = int(np.argmax(best[2]))
-        return self.langs[best[1][top]], float(min(1.0, best[2][top]))
+        return self.langs[few[best[1][top]]], float(min(1.0, best[2][top])), bool(best[0] > -n.sum() * np.log(D) / OVERLAP)
 
 
 def fit(docs: DataFrame) -> Model:
     """Learns from every row of ``docs`` (text, lang) with a label."""
     known = docs.where(F.col("lang").isNotNull()).select("lang", "text")
     counted = known.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # one row per language reaches the driver
-    rows = counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).orderBy("lang").collect()
-    counts = np.zeros((len(rows), D))
-    for k, r in enumerate(rows):
-        counts[k, r.at] = r.n
-    return Model([r.lang for r in rows], counts)
+    found = counted.toArrow()  # an entry per label and bucket that it uses
+    langs = sorted(set(found["lang"].unique().to_pylist()))
+    names = {g: k for k, g in enumerate(langs)}
+    coded = found["lang"].combine_chunks().dictionary_encode() if found.num_rows else None
+    lang = np.array([names[g] for g in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if coded is not None else np.zeros(0, np.int64)
+    return Model(langs, lang, found["bucket"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float))
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct(lang, score) of a text column."""
+    """struct(lang, score, likely) of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, likely boolean")
     def infer(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([m.infer(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([m.infer(t) for t in texts], columns=["lang", "score", "likely"])
 
     return infer(text)
 
@@ -139,9 +169,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language that its labelled rows teach; what has none (``und``) is rejected."""
+    """The rows of ``docs`` that a mixture of the languages, which its labelled rows teach, makes likelier than noise;
+    what has no letter is rejected."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return docs.select(F.struct("*").alias("row"), predict(spark, model, F.col("text")).alias("found")).where(F.col("found.score") > 0).select("row.*")
+    return docs.select(F.struct("*").alias("row"), predict(spark, model, F.col("text")).alias("found")).where("found.likely").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
