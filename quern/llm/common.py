@@ -19,23 +19,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only a session without one
-    (tests on one machine) gets a temporary folder."""
+    """The folder that all executors share, as a URI with its scheme: ``spark.checkpoint.dir``; only a session without
+    one (tests on one machine) gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if not re.match(r"[A-Za-z][\w+.-]*:", found):  # on the default file system, which only Spark knows
+        path = _hadoop_path(spark, found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def staged(df: DataFrame, what: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage is cut there, and a lost
-    executor costs a reread, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    executor costs a reread, not a recomputation. Staged tables that only this one reads, ``done``, are removed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for table in done:
+        old = _hadoop_path(spark, table.staged_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def null_safe(col: Column) -> Column:

@@ -26,7 +26,7 @@ class EliasFano:
         bits = max(0, ((top + 1) // n).bit_length() - 1) if n else 0
         places = (np.arange(bits, dtype=np.uint64))[None, :]
         low = np.packbits(((v[:, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if bits else np.zeros(0, np.uint8)
-        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)  # at most 3 n
         vector = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         vector[ones] = 1
         return cls(n, bits, low, np.packbits(vector, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
@@ -49,6 +49,36 @@ class EliasFano:
         part = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
         return (value << self.low_bits) | int(sum(int(b) << k for k, b in enumerate(part)))
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``: each from the word of the bit vector that its sample and a count of ones lead to."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        words = np.frombuffer(self.high.tobytes() + bytes(-len(self.high) % 8 + 8), "<u8")
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+        start = self.samples[i // SAMPLE].astype(np.int64) // 64  # no one of that place stands before its sample
+        at = np.maximum(start, np.searchsorted(before, i, "right") - 1)
+        left, word, place = i - before[at], words[at], at * 64
+        for width in (32, 16, 8, 4, 2, 1):  # halve the word until one bit is left
+            half = word & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(half).astype(np.int64)
+            up = left >= ones
+            left, place = left - np.where(up, ones, 0), place + np.where(up, width, 0)
+            word = np.where(up, word >> np.uint64(width), half)
+        value = (place - i).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            low = np.concatenate([self.low, np.zeros(9, np.uint8)])
+            bit = i * self.low_bits
+            part = np.zeros(len(i), np.uint64)
+            for k in range(8):
+                part |= low[bit // 8 + k].astype(np.uint64) << np.uint64(8 * k)
+            part >>= (bit % 8).astype(np.uint64)
+            if self.low_bits > 57:
+                over = (bit % 8).astype(np.uint64)
+                part |= np.where(over > 0, low[bit // 8 + 8].astype(np.uint64) << ((np.uint64(64) - over) % np.uint64(64)), np.uint64(0))
+            value |= part & np.uint64((1 << self.low_bits) - 1)
+        return value
+
     def decode(self) -> np.ndarray:
         """All values."""
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)

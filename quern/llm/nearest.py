@@ -150,7 +150,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
     one = F.lit(1)
     index = distinct.join(bands, ["d", "band"]).select("d", "band", "id", "v", assign("v", "bits", one, "tables").alias("cells"))
     queries = rows.where("q").select("id", "v", "d").distinct().join(bands, "d").select("d", "band", "id", "v", assign("v", "bits", "probes", "tables").alias("cells"))
-    index, queries = common.staged(index, "vector-cells"), common.staged(queries, "query-cells")
+    index = common.staged(index, "vector-cells")
+    queries = common.staged(queries, "query-cells", (rows,))
     cell = ["d", "band", "cell"]
     index, queries = (t.select("d", "band", F.explode("cells").alias("cell"), "id", "v") for t in (index, queries))
     sizes = index.select(*cell, F.lit(1).alias("m"), F.lit(0).alias("c")).unionByName(queries.select(*cell, F.lit(0).alias("m"), F.lit(1).alias("c")))

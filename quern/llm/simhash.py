@@ -196,7 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.expr("array(struct(v as u, m as v), struct(u, m as v))")).alias("e")).select("e.*").where("u > v").distinct()
-        edges = common.staged(small, "stars")
+        edges = common.staged(small, "stars", (edges,))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -41,6 +41,8 @@ WORDS, PHRASE = 20, 6
 PIECE = (WORDS + 1) // 2
 #: Bytes of text in a block, pieces in an automaton, words whose hashes are kept.
 BLOCK, PATTERNS, KEPT = 2 << 20, 50_000, 500_000
+#: Ways in which the copies of one text are dealt out.
+SALT = 32
 LAST = (1 << 63) - 1
 _HASHES: dict[bytes, int] = {}
 A, B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -218,28 +220,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("doc_id", digest), F.lit(blocks)).alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
         F.col("doc_id").isNull().alias("missing"), F.coalesce(digest, F.lit("")).alias("digest"), F.col("text").cast("string").alias("text"),
     )
-    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a staged table needs its shuffles no more
-    try:
-        slim = common.staged(rows.where("digest != ''").select("block", "key", "digest"), "digests")
-        least = slim.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("most > least")
-        least = common.staged(least, "copied-texts")  # a plain join follows, whose hot keys Spark can split
-        copies = common.staged(slim.join(least, "digest").where("key > least").select("block", "key", "digest").distinct(), "copies")
-        anchors = common.staged(rows.select("block", "text").mapInPandas(_candidates, "anchor long, block long, n int"), "anchors")
-        again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-        recurring = common.staged(anchors.join(again, "anchor", "left_semi").select("block", "anchor"), "recurring-anchors")
-        # no nulls: they would turn 64-bit integers into floats on the way to Python
-        known = recurring.withColumns({"key": zero, "digest": F.lit("")}).unionByName(copies.withColumn("anchor", zero))
-        runs = rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_confirm, "a long, b long, block long, row int, start int, key long, again boolean")
-        same = Window.partitionBy("a", "b").orderBy("key", "start")  # a row per block at most
-        place = F.struct(F.col("key").alias("first_key"), F.col("start").alias("first_start"))
-        firsts = runs.withColumn("nth", F.row_number().over(same)).withColumn("first", F.first(place).over(same.rowsBetween(Window.unboundedPreceding, 0)))
-        passages = common.staged(firsts.where("nth > 1 or again").select("block", "row", "start", "first.*"), "passages")
-    finally:
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", before)
+    slim = common.staged(rows.where("digest != ''").select("block", "key", "digest"), "digests")
+    least = slim.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("most > least").select("digest", "least")
+    # the copies of one text may be a third of all: they are dealt out by salt
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("key", "block"), F.lit(SALT)).cast("int"))
+    copies = salted.join(least, ["digest", "salt"]).where("key > least").select("block", "key", "digest").distinct()
+    copies = common.staged(copies, "copies", (slim,))
+    anchors = common.staged(rows.select("block", "text").mapInPandas(_candidates, "anchor long, block long, n int"), "anchors")
+    again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    recurring = common.staged(anchors.join(again, "anchor", "left_semi").select("block", "anchor"), "recurring-anchors", (anchors,))
+    # some blocks to a task, however many there are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    texts = rows.repartition(tasks, "block").groupBy("block")
+    # no nulls: they would turn 64-bit integers into floats on the way to Python
+    known = recurring.withColumns({"key": zero, "digest": F.lit("")}).unionByName(copies.withColumn("anchor", zero))
+    known = known.repartition(tasks, "block").groupBy("block")
+    runs = texts.cogroup(known).applyInPandas(_confirm, "a long, b long, block long, row int, start int, key long, again boolean")
+    same = Window.partitionBy("a", "b").orderBy("key", "start")  # a row per block at most
+    place = F.struct(F.col("key").alias("first_key"), F.col("start").alias("first_start"))
+    firsts = runs.withColumn("nth", F.row_number().over(same)).withColumn("first", F.first(place).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = common.staged(firsts.where("nth > 1 or again").select("block", "row", "start", "first.*"), "passages", (recurring,))
     nowhere = {"row": zero.cast("int"), "start": zero.cast("int"), "first_key": zero, "first_start": zero.cast("int")}
     known = passages.withColumns({"key": zero, "digest": F.lit("")}).unionByName(copies.withColumns(nowhere))
-    out = rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_locate, "key long, missing boolean, n_words long, n_removed long, kept_sha256 string")
+    known = known.repartition(tasks, "block").groupBy("block")
+    out = texts.cogroup(known).applyInPandas(_locate, "key long, missing boolean, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.when(~F.col("missing"), F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

@@ -1,29 +1,36 @@
 """Token ids in a binary format with Elias-Fano document boundaries.
 
 A file holds the ids of consecutive documents in one array of 16-bit numbers (32-bit if the
-vocabulary needs it), the documents' ids, and the array offsets at which documents begin, as an
-Elias-Fano code with a select structure. Files are written in ascending document order: rows are
-range-partitioned by id (and by a digest of the text, so that equal ids can be dealt out), and each
-task writes files of bounded size under names that depend on its place in that order alone. A task
+vocabulary needs it), and two Elias-Fano codes with select structures: of the documents' ids, less the
+least, and of the array offsets at which documents begin. Files are written in ascending document order:
+rows are range-partitioned by id (and by a digest of the text, so that equal ids can be dealt out), and
+each task writes files of bounded size under names that depend on its place in that order alone. A task
 that is run again writes the same bytes under the same names.
 
-File: ``QTOK1``, id width in bytes, number of documents, number of leading null document ids, the
-document ids as little-endian 64-bit integers, the Elias-Fano code of the n + 1 boundaries, the ids.
+File: ``QTOK2``, id width in bytes, number of documents, number of leading null document ids, the least
+document id (signed), the code of the other document ids, the code of the n + 1 boundaries, the ids.
 
-Encoding is that of the ``tokenizers`` library without special tokens of its own; ids of words that
-were met before are kept, as this kind of tokenizer drops white space and so never joins words. A
-tokenizer for which that does not hold encodes whole texts.
+Encoding is that of the ``tokenizers`` library without special tokens of its own. Ids of words that were
+met before are kept if the tokenizer never joins over white space: its normalizer works on each run
+between white space by itself, no added token holds or strips white space, nothing is cut or padded, and
+all pairs of kinds of characters encode the same with each white space between them as apart. Words of
+letters alone go to the model directly if its pieces are bytes of letter runs. Each of this is checked
+(``Encoder``); a tokenizer for which it does not hold encodes whole texts.
 
 Defined cases: a null text is empty and has the end id alone; documents with a null id come first;
-documents with equal ids are ordered by text digest, then text; very long texts are encoded piece by
+documents with equal ids are ordered by text digest, then text, so repeated rows stand together; very long texts are encoded piece by
 piece; an empty table writes no file. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +43,31 @@ from pyspark.sql import functions as F
 from quern.llm import common
 from quern.llm.elias_fano import EliasFano
 
-MAGIC, END = b"QTOK1", 2
+MAGIC, HEAD, END = b"QTOK2", "<BQQq", 2
 #: Ids in a file, words whose ids are kept, and bytes of a text that are cut into words at once.
 FILE_IDS, KEPT, PIECE = 4_000_000, 250_000, 1 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+#: Normalizer steps that treat each run between white space by itself.
+APART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+KINDS = ["a", "Z", "é", "ſ", "1", ".", "'s", "'", "_", "漢", "|", "-", "<", "|>"]
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    if part is None:
+        return []
+    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level models: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Little-endian id bytes of texts, word by word."""
 
@@ -49,22 +75,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = "<u2" if self.code == "H" else "<u4"
         self.kept: dict[bytes, bytes] = {}
-        whole = self._ids(" One two,\t three...  \n'ſ don't É é ")
-        self.by_words = whole == b"".join(self._ids(w) for w in " One two,\t three...  \n'ſ don't É é ".split(" "))
-        self.folds = self._ids("Az") == self._ids("aZ")
-        # the model alone is enough for plain lower-case words if it gives the same
-        model = self.tokenizer.model
-        probe = ["a", "thinking", "zq", "ofantition"]
-        self.plain = self.by_words and all(self._pack([t.id for t in model.tokenize(w)]) == self._ids(w) for w in probe)
+        parts = json.loads(self.tokenizer.to_str())
+        normal = _steps(parts["normalizer"], "normalizers")
+        alone = all(s["type"] in APART or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in normal)
+        bare = not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in parts["added_tokens"])
+        whole = parts["truncation"] is None and parts["padding"] is None
+        self.by_words = alone and bare and whole and all(self._ids(x + s + y) == self._ids(x) + self._ids(y) for x in KINDS for y in KINDS for s in SPACES)
+        self.folds = any(s["type"] == "Lowercase" for s in normal)
+        # letters alone: one run of letters for the pre-tokenizer, whose bytes the model gets
+        before = _steps(parts["pre_tokenizer"], "pretokenizers")
+        self.bytes = _byte_letters()
+        probe = ["a", "thinking", "zq", "ofantition", "é", "straße", "漢字", "οδος", "ofé", "naïve"]
+        bytewise = bool(before) and before[-1]["type"] == "ByteLevel" and not before[-1]["add_prefix_space"] and not before[-1]["use_regex"]
+        self.plain = self.by_words and bytewise and all(self._letters(w) == self._ids(w) for w in probe)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _ids(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(word)])
+
     def _word(self, word: bytes) -> bytes:
         """Ids of a word; closing punctuation after a plain letter is a word of its own to the tokenizer."""
         kept = self.kept
@@ -76,9 +117,13 @@ class Encoder:
             low = word.lower()
             out = kept.get(low) or self._word(low)
         elif self.plain and word.isalpha() and word.islower():
-            out = self._pack([t.id for t in self.tokenizer.model.tokenize(word.decode())])
+            out = self._letters(word.decode())
         else:
-            out = self._ids(word.decode())
+            text = word.decode()
+            if self.plain and text.isalpha() and (text := self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text).isalpha():
+                out = self._letters(text)
+            else:
+                out = self._ids(word.decode())
         if len(kept) >= KEPT:
             kept.clear()
         kept[word] = out
@@ -105,10 +150,11 @@ def encoder(path: str) -> Encoder:
 
 def pack_file(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     """A file of documents in order; null ids lead."""
-    nulls = sum(d is None for d in doc_ids)
-    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    numbers = EliasFano.build(np.array([d - least for d in known], np.uint64))
     bounds = EliasFano.build(np.concatenate([[0], np.cumsum([len(x) // width for x in ids])]))
-    return b"".join([MAGIC, struct.pack("<BQQ", width, len(doc_ids), nulls), numbers.tobytes(), bounds.to_bytes(), *ids])
+    return b"".join([MAGIC, struct.pack(HEAD, width, len(doc_ids), len(doc_ids) - len(known), least), numbers.to_bytes(), bounds.to_bytes(), *ids])
 
 
 class TokenFile:
@@ -118,13 +164,20 @@ class TokenFile:
         view = memoryview(data)
         if bytes(view[: len(MAGIC)]) != MAGIC:
             raise ValueError("not a token file")
-        width, self.n, nulls = struct.unpack_from("<BQQ", view, len(MAGIC))
-        at = len(MAGIC) + struct.calcsize("<BQQ")
-        numbers = np.frombuffer(view, "<i8", self.n, at)
-        self.doc_ids = [None] * nulls + numbers[nulls:].tolist()
-        self.bounds, at = EliasFano.from_bytes(view, at + 8 * self.n)
+        width, self.n, self.nulls, self.least = struct.unpack_from(HEAD, view, len(MAGIC))
+        self.numbers, at = EliasFano.from_bytes(view, len(MAGIC) + struct.calcsize(HEAD))
+        self.bounds, at = EliasFano.from_bytes(view, at)
         self.ids = np.frombuffer(view, f"<u{width}", -1, at) if at < len(view) else np.zeros(0, f"<u{width}")
 
+    @property
+    def doc_ids(self) -> list[int | None]:
+        known = self.numbers.select_many(np.arange(self.n - self.nulls))
+        return [None] * self.nulls + (known + np.uint64(self.least % (1 << 64))).view(np.int64).tolist()
+
+    def offsets(self) -> np.ndarray:
+        """Where each document begins, and where the last ends, by select."""
+        return self.bounds.select_many(np.arange(self.n + 1)).astype(np.int64)
+
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, found by two selects."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -132,7 +185,7 @@ class TokenFile:
 
 def _save(folder: str, name: str, data: bytes) -> None:
     """Whole files only: a file gets its name when it is complete."""
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", folder)))
     fs.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
@@ -179,7 +232,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
             for name, data in zip(batch["path"], batch["content"]):
                 part, seq = (int(x) for x in name.rpartition("/part-")[2].removesuffix(".tok").split("-"))
                 file = TokenFile(data)
-                bounds = file.bounds.decode()
+                bounds = file.offsets()
                 crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pd.DataFrame({
                     "part": part, "seq": seq, "doc_id": pd.array(file.doc_ids, "Int64"),

@@ -69,3 +69,26 @@ def test_query(spark):
     got = tokens.query(spark, SF).orderBy("start").collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     assert [tuple(r) for r in got] == brute(rows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 50), st.integers(0, 1 << 62)), min_size=1, max_size=600))
+def test_select_of_many(values):
+    v = np.sort(np.array(values, np.uint64))
+    ef, _ = EliasFano.from_bytes(memoryview(EliasFano.build(v).to_bytes()))
+    at = np.arange(len(v))
+    assert (ef.select_many(at) == v).all() and (ef.select_many(at[::-3]) == v[::-3]).all()
+    assert all(ef.select(i) == int(v[i]) for i in range(0, len(v), 1 + len(v) // 5))
+
+
+def test_document_ids_of_any_size():
+    ids = [None, None, -(1 << 63), -5, 0, 7, 7, (1 << 63) - 1]
+    assert tokens.TokenFile(tokens.pack_file(ids, [b"\1\0"] * len(ids), 2)).doc_ids == ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=30))
+def test_encoding_of_any_text_is_the_librarys(text):
+    enc = tokens.encoder(tokens.vocabulary())
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
