@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table for work that is heavy per row: dealt out if it is scanned in fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def key(col: str, width: int = 12):
     """Ids whose byte order is the numeric order."""
     return F.lpad(F.col(col).cast("string"), width, "0")
@@ -71,8 +77,8 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of the first orders, linked to parts; strength is the mean discount in tenths."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    """Suppliers, linked to the parts of their orders; strength is the mean discount in tenths."""
+    li = table(spark, sf_dir, "lineitem")
     e = li.groupBy("l_suppkey", "l_partkey").agg(F.round(F.avg("l_discount") * 10, 4).alias("strength"))
     src, dst = F.concat(F.lit("s"), key("l_suppkey", 6)), F.concat(F.lit("p"), key("l_partkey", 6))
     return e.select(
@@ -83,7 +89,7 @@ def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES_SQL = f"""SELECT 'edge:s' || {k("l_suppkey", 6)} || ':p' || {k("l_partkey", 6)} AS id, 's' || {k("l_suppkey", 6)} AS src, 'p' || {k("l_partkey", 6)} AS dst,
   CASE WHEN l_partkey % 3 = 0 THEN 'related' ELSE 'supplies' END AS label, round(avg(l_discount) * 10, 4) AS strength
-  FROM lineitem WHERE l_orderkey <= 2000 GROUP BY l_suppkey, l_partkey"""
+  FROM lineitem GROUP BY l_suppkey, l_partkey"""
 
 
 def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

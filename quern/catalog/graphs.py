@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.catalog.base import EDGES_SQL, NODES_SQL, document_nodes, event_nodes, k, query, supplier_edges, supply_nodes, table
+from quern.catalog.base import EDGES_SQL, NODES_SQL, document_nodes, event_nodes, k, key, query, supplier_edges, supply_nodes, table
 from quern.operators import graph
 from quern.plans.compiler import Engine
 
@@ -112,13 +112,13 @@ def clusters_louvain(spark, sf_dir):
 
 
 def _chain_edges(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id <= 20")
+    e = table(spark, sf_dir, "events")
     src, dst = F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lpad((F.col("event_id") + 1).cast("string"), 12, "0")
     none = F.lit(None)
     return e.select(F.concat_ws(":", src, dst).alias("id"), src.alias("src"), dst.alias("dst"), none.cast("string").alias("label"), F.lit(1.0).alias("strength"), none.cast("double").alias("weight"), none.cast("string").alias("link_type"))
 
 
-_CHAIN_SQL = f"SELECT {k('event_id')} AS src, {k('event_id + 1')} AS dst FROM events WHERE user_id <= 20"
+_CHAIN_SQL = f"SELECT {k('event_id')} AS src, {k('event_id + 1')} AS dst FROM events"
 
 
 @query(
@@ -133,42 +133,43 @@ def clusters_temporal(spark, sf_dir):
 
 @query(
     "connected_components",
-    f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({_CHAIN_SQL}) UNION SELECT dst, src FROM ({_CHAIN_SQL})),
-    s AS (SELECT DISTINCT b AS id FROM e WHERE b NOT IN (SELECT dst FROM ({_CHAIN_SQL}))), r(id, c) AS (SELECT id, id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
-    SELECT id, min(c) AS component FROM r GROUP BY id""",
+    f"""SELECT 'o' || {k("o_orderkey")} AS id, 'c' || {k("o_custkey")} AS component FROM orders
+    UNION SELECT 'c' || {k("o_custkey")}, 'c' || {k("o_custkey")} FROM orders""",
 )
 def connected_components(spark, sf_dir):
-    return graph.components(_chain_edges(spark, sf_dir))
-
-
-def _small_events(spark, sf_dir):
-    return event_nodes(spark, sf_dir).where(F.col("data")["user_id"] <= 12)
+    """Orders and customers: a customer and all its orders are a component."""
+    o = table(spark, sf_dir, "orders")
+    src, dst = F.concat(F.lit("o"), key("o_orderkey")), F.concat(F.lit("c"), key("o_custkey"))
+    return graph.components(o.select(src.alias("src"), dst.alias("dst")))
 
 
-@query("auto_link_category", f"SELECT 'edge::' || {k('a.event_id')} || '::' || {k('b.event_id')} AS id, 1.0::DOUBLE AS strength FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_id < b.event_id WHERE a.user_id <= 12 AND b.user_id <= 12")
+@query("auto_link_category", f"SELECT {k('event_id')} AS id, {k('min(event_id) OVER (PARTITION BY event_type)')} AS class, (count(*) OVER (PARTITION BY event_type) - 1)::BIGINT AS links FROM events")
 def auto_link_category(spark, sf_dir):
-    return graph.auto_link(_small_events(spark, sf_dir), ["category"]).select("id", "strength")
+    """Links in compact form: a class and a number of links for each node; pairs are held against this in tests."""
+    return graph.category_links(event_nodes(spark, sf_dir))
 
 
 @query(
     "auto_link_temporal",
-    f"""SELECT 'edge::' || least({k("a.event_id")}, {k("b.event_id")}) || '::' || greatest({k("a.event_id")}, {k("b.event_id")}) AS id,
-    round(1.0 - 0.5 * abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) / 86400, 8) AS strength
-    FROM events a JOIN events b ON a.event_id < b.event_id AND abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) <= 86400 WHERE a.user_id <= 12 AND b.user_id <= 12""",
+    f"""WITH s AS (SELECT event_id, floor(epoch(ts)) AS t FROM events), n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+    p AS (SELECT a.t, sum(b.n) AS links, sum(b.n * abs(a.t - b.t)) AS apart FROM n a JOIN n b ON b.t BETWEEN a.t - 86400 AND a.t + 86400 GROUP BY a.t)
+    SELECT {k("event_id")} AS id, (links - 1)::BIGINT AS links, round((links - 1)::DOUBLE - 0.5::DOUBLE * apart / 86400, 4) AS strength FROM s JOIN p USING (t)""",
 )
 def auto_link_temporal(spark, sf_dir):
-    return graph.auto_link(_small_events(spark, sf_dir), ["temporal"]).select("id", F.round("strength", 8).alias("strength"))
+    links = graph.temporal_links(event_nodes(spark, sf_dir), 0.5)
+    return links.select("id", "links", F.round("strength", 4).alias("strength"))
 
 
 @query(
     "auto_link_semantic",
-    f"""WITH t AS (SELECT {k("doc_id")} AS id, list_distinct(list_concat(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), [lower(lang)])) AS w FROM documents WHERE n_chars < 400)
-    SELECT 'edge::' || a.id || '::' || b.id AS id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 8) AS strength
-    FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-12""",
+    f"""WITH t AS (SELECT {k("doc_id")} AS id, list_distinct(list_concat(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), [lower(lang)])) AS w FROM documents),
+    p AS (SELECT a.id AS i, b.id AS j FROM t a JOIN t b ON a.id < b.id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w)
+      WHERE len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-12),
+    n AS (SELECT i AS id, count(*) AS n FROM (SELECT i, j FROM p UNION ALL SELECT j, i FROM p) GROUP BY i)
+    SELECT t.id, min(t.id) OVER (PARTITION BY list_sort(t.w)) AS class, coalesce(n.n, 0)::BIGINT AS links FROM t LEFT JOIN n ON n.id = t.id""",
 )
 def auto_link_semantic(spark, sf_dir):
-    short = document_nodes(spark, sf_dir).where(F.col("data")["n_chars"] < 400)
-    return graph.auto_link(short, ["semantic"], 0.5).select("id", F.round("strength", 8).alias("strength"))
+    return graph.semantic_links(document_nodes(spark, sf_dir), 0.5)
 
 
 def _causal(spark, sf_dir):

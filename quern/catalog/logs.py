@@ -271,3 +271,28 @@ _sql("sql_intersect", "SELECT n_nationkey FROM nation INTERSECT SELECT c_nationk
 _sql("sql_except", "SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
 _sql("sql_group_concat", "SELECT c_nationkey, COUNT(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 1")
 _sql("sql_aggregates", "SELECT o_orderpriority, COUNT(*) AS n, ROUND(AVG(o_totalprice), 4) AS mean, MIN(o_totalprice) AS low, MAX(o_totalprice) AS high FROM orders GROUP BY o_orderpriority")
+_sql("sql_numbered_params", "SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_acctbal > ?2 AND c_nationkey IN (?1, ?3, ?1) AND c_acctbal < ?2 + 9000 AND c_nationkey <> ?", "SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_acctbal > 500 AND c_nationkey IN (3, 7) AND c_acctbal < 9500 AND c_nationkey <> 5", [3, 500, 7, 5])
+_sql("sql_group_concat_distinct", "SELECT c_nationkey, GROUP_CONCAT(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY c_nationkey")
+
+
+@query(
+    "sql_statements",
+    """WITH a AS (SELECT o_custkey AS id, count(*) AS n, 'old' AS kind FROM orders GROUP BY o_custkey),
+    b AS (SELECT id, CASE WHEN n > 15 THEN n * 2 ELSE n END AS n, CASE WHEN n > 15 THEN 'big' ELSE kind END AS kind FROM a WHERE id % 7 <> 0)
+    SELECT id, n, kind, NULL::DOUBLE AS share FROM b UNION ALL SELECT * FROM (VALUES (-1, 5, 'a;b', NULL::DOUBLE), (-2, 6, 'new', NULL))""",
+)
+def sql_statements(spark, sf_dir):
+    """Statements that make, fill, change and empty tables."""
+    db = Database(spark)
+    db.register("orders", table(spark, sf_dir, "orders"))
+    db.exec("""CREATE TABLE IF NOT EXISTS totals (id INTEGER PRIMARY KEY, n INTEGER NOT NULL DEFAULT 0, kind TEXT);
+        CREATE INDEX IF NOT EXISTS totals_n ON totals (n);
+        INSERT INTO totals SELECT o_custkey, COUNT(*), 'old' FROM orders GROUP BY o_custkey;
+        UPDATE totals SET n = n * 2, kind = 'big' WHERE n > 15;
+        DELETE FROM totals WHERE id % 7 = 0;
+        INSERT OR IGNORE INTO totals (id, kind, n) VALUES (-1, 'a;b', 5), (-2, 'new', 6);
+        INSERT OR IGNORE INTO totals (id, kind, n) VALUES (-1, 'again', 50);
+        ALTER TABLE totals ADD COLUMN part REAL;
+        ALTER TABLE totals RENAME COLUMN part TO share;
+        CREATE VIEW all_totals AS SELECT * FROM totals""")
+    return db.query("SELECT id, n, kind, share FROM all_totals")

@@ -167,11 +167,10 @@ def emit_unknown(spark, sf_dir):
 @query(
     "mutate_overlay",
     f"""SELECT id, CASE WHEN id = '{1:012d}' THEN 5.0 WHEN id = '{3:012d}' THEN 7.5 ELSE v END AS value, CASE WHEN id = '{1:012d}' THEN 'put' WHEN id = 'new' THEN 'put' ELSE event_type END AS event_type
-    FROM (SELECT id, event_type, v FROM ({VARIANT_SQL}) WHERE user_id <= 20 OR event_id <= 3 UNION ALL SELECT 'new', 'put', 1.0) WHERE id <> '{2:012d}'""",
+    FROM (SELECT id, event_type, v FROM ({VARIANT_SQL}) UNION ALL SELECT 'new', 'put', 1.0) WHERE id <> '{2:012d}'""",
 )
 def mutate_overlay(spark, sf_dir):
     nodes = variant_events(spark, sf_dir)
-    nodes = nodes.where((F.try_variant_get("data", "$.user_id", "int") <= 20) | (F.col("id") <= f"{3:012d}"))
     m = Mutations().put(f"{1:012d}", {"value": 5.0, "event_type": "put"}).delete(f"{2:012d}").merge(f"{3:012d}", {"value": 7.5}).put("new", {"value": 1.0, "event_type": "put"}).delete("never")
     done = store.Store(nodes).apply(m.ops).nodes
     return done.select("id", F.try_variant_get("data", "$.value", "double").alias("value"), F.try_variant_get("data", "$.event_type", "string").alias("event_type"))

@@ -92,11 +92,11 @@ def export_training_set(spark, sf_dir):
     return out.join(pairs.select("id", "prompt_memory_id"), "id").select(F.col("prompt_memory_id").alias("id"))
 
 
-@query("contradictions", f"""WITH m AS (SELECT id, event_type, CASE WHEN event_type = 'error' THEN true ELSE false END AS neg, event_id FROM (SELECT {E} AS id, event_id, event_type FROM events WHERE event_id <= 400)),
+@query("contradictions", f"""WITH m AS (SELECT id, event_type, CASE WHEN event_type = 'error' THEN true ELSE false END AS neg, event_id FROM (SELECT {E} AS id, event_id, event_type FROM events)),
     p AS (SELECT a.id, b.id AS other, a.neg <> b.neg AS differs, row_number() OVER (PARTITION BY a.id ORDER BY 1.0 - abs(a.event_id - b.event_id) / 100.0 DESC, b.id) AS r FROM m a JOIN m b ON a.id <> b.id AND abs(a.event_id - b.event_id) <= 25)
     SELECT m.id, coalesce(list(other ORDER BY r) FILTER (WHERE differs), []) AS contradicts, coalesce(list(other ORDER BY r) FILTER (WHERE NOT differs AND other IS NOT NULL), []) AS reinforces FROM m LEFT JOIN (SELECT * FROM p WHERE r <= 10) q ON q.id = m.id GROUP BY m.id""")
 def contradictions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id <= 400")
+    e = table(spark, sf_dir, "events")
     m = e.select(key("event_id").alias("id"), F.when(F.col("event_type") == "error", "never do it").otherwise("do it").alias("text"), "event_id")
     a, b = m.select("id", F.col("event_id").alias("x")), m.select(F.col("id").alias("other"), F.col("event_id").alias("y"))
     near = a.withColumn("g", F.explode(F.array(*[F.floor(F.col("x") / 25) + d for d in (-1, 0, 1)]))).join(b.withColumn("g", F.floor(F.col("y") / 25)), "g")
@@ -135,12 +135,12 @@ def preference_pairs(spark, sf_dir):
 def _chained(spark, sf_dir):
     """Decisions of a session, each caused by the one before."""
     d = decisions(spark, sf_dir)
-    return d.withColumn("causal_parent", F.lag("id").over(Window.partitionBy("session_id").orderBy("id"))).where("session_id in ('s1', 's2', 's3', 's4', 's5')")
+    return d.withColumn("causal_parent", F.lag("id").over(Window.partitionBy("session_id").orderBy("id")))
 
 
 @query(
     "reward_signal",
-    f"""WITH RECURSIVE d AS (SELECT *, lag(id) OVER (PARTITION BY session_id ORDER BY id) AS parent FROM ({C}) WHERE session_id IN ('s1', 's2', 's3', 's4', 's5')),
+    f"""WITH RECURSIVE d AS (SELECT *, lag(id) OVER (PARTITION BY session_id ORDER BY id) AS parent FROM ({C})),
     b AS (SELECT id, parent, CASE outcome WHEN 'accepted' THEN 1.0 WHEN 'continued' THEN 0.5 WHEN 'corrected' THEN -0.5 WHEN 'abandoned' THEN -1.0 ELSE 0.5 END::DOUBLE AS r FROM d),
     w(id, parent, r, h) AS (SELECT id, parent, r, 0 FROM b UNION ALL SELECT b.id, b.parent, w.r * 0.9, h + 1 FROM w JOIN b ON b.id = w.parent WHERE h < 30),
     o AS (SELECT id, r, row_number() OVER (PARTITION BY id ORDER BY abs(r) DESC, h) AS n FROM w) SELECT id, round(r, 6) AS reward FROM o WHERE n = 1""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.catalog.base import document_nodes, event_nodes, k, key, query, table
+from quern.catalog.base import document_nodes, event_nodes, k, key, query, spread, table
 from quern.functions import px
 from quern.functions import text as tx
 from quern.plans.compiler import Engine
@@ -19,32 +19,38 @@ def transform_structured(spark, sf_dir):
 
 
 
-@query("transform_toon", f"SELECT {D} AS id, '[?|' || printf('%.1f', n_chars / 1000.0) || '] ' || CASE WHEN length(text) > 25 THEN substr(text, 1, 25) || '…' ELSE text END AS toon FROM documents WHERE n_chars % 100 <> 50")
+def _scored(spark, sf_dir):
+    """Documents whose score never ends in exactly half a tenth, which engines print differently."""
+    d = document_nodes(spark, sf_dir)
+    return d.withColumn("data", F.col("data").withField("score", F.col("data")["n_chars"] / 1000.0 + 0.00001))
+
+
+_SCORE = "printf('%.1f', n_chars / 1000.0 + 0.00001)"
+
+
+@query("transform_toon", f"SELECT {D} AS id, '[?|' || {_SCORE} || '] ' || CASE WHEN length(text) > 25 THEN substr(text, 1, 25) || '…' ELSE text END AS toon FROM documents")
 def transform_toon(spark, sf_dir):
-    """Scores that end in exactly half a tenth are left out: the engines print them differently."""
-    d = document_nodes(spark, sf_dir).where(F.col("data")["n_chars"] % 100 != 50)
-    return Engine(d).dsl('transform(format: "toon", max_chars: 25)').df.select("id", "data.toon")
+    return Engine(_scored(spark, sf_dir)).dsl('transform(format: "toon", max_chars: 25)').df.select("id", "data.toon")
 
 
 @query(
     "transform_fused",
-    f"""WITH l AS (SELECT {D} AS id, lang AS c, '[score ' || printf('%.1f', n_chars / 1000.0) || '] ' || CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '…' ELSE text END AS line FROM documents WHERE n_chars % 100 <> 50),
+    f"""WITH l AS (SELECT {D} AS id, lang AS c, '[score ' || {_SCORE} || '] ' || CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '…' ELSE text END AS line FROM documents),
     g AS (SELECT c, '## ' || c || chr(10) || string_agg(line, chr(10) ORDER BY id) AS block, count(*) AS n FROM l GROUP BY c)
     SELECT '__fused__' AS id, string_agg(block, chr(10) ORDER BY c) AS text, sum(n)::BIGINT AS count FROM g""",
 )
 def transform_fused(spark, sf_dir):
-    d = document_nodes(spark, sf_dir).where(F.col("data")["n_chars"] % 100 != 50)
-    return Engine(d).dsl('transform(format: "fused", max_chars: 30)').df.select("id", "data.text", "data.count")
+    return Engine(_scored(spark, sf_dir)).dsl('transform(format: "fused", max_chars: 30)').df.select("id", "data.text", "data.count")
 
 
 @query("word_count", f"SELECT {D} AS id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM documents")
 def word_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.word_count(F.col("text")).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.word_count(F.col("text")).alias("n"))
 
 
 @query("sentence_count", f"SELECT {D} AS id, CASE WHEN text = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '[.!?]'))) END::BIGINT AS n FROM documents")
 def sentence_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.sentence_count(F.col("text")).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.sentence_count(F.col("text")).alias("n"))
 
 
 _STOP = "[" + ", ".join("'" + w + "'" for w in tx.STOP_WORDS) + "]"
@@ -60,13 +66,13 @@ _SEP = "[\\s!\"#$%&()*+,./:;<=>?@\\[\\\\\\]^_`{|}~]+"
     SELECT id, list(t ORDER BY r) AS keywords FROM r WHERE r <= 10 GROUP BY id""",
 )
 def keywords_topk(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.keywords(F.col("text")).alias("keywords"))
+    d = spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.keywords(F.col("text")).alias("keywords"))
     return d.where(F.size("keywords") > 0)
 
 
 @query("language_hint", f"SELECT {D} AS id, CASE WHEN len(regexp_extract_all(text, '\\pL')) = 0 OR 2 * len(regexp_extract_all(text, '[A-Za-z]')) >= len(regexp_extract_all(text, '\\pL')) THEN 'latin' ELSE 'other' END AS hint FROM documents")
 def language_hint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.language_hint(F.col("text")).alias("hint"))
+    return spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.language_hint(F.col("text")).alias("hint"))
 
 
 @query("whitespace_collapse", f"SELECT {D} AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
@@ -108,19 +114,19 @@ def log_collapse(spark, sf_dir):
 @query("content_type", f"SELECT {D} AS id, CASE WHEN starts_with(ltrim(text), '{{') OR starts_with(ltrim(text), '[') THEN 'json' ELSE 'prose' END AS kind FROM documents")
 def content_type(spark, sf_dir):
     """The corpus is prose; logs, code and errors are covered by tests."""
-    return table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.content_type(F.col("text")).alias("kind"))
+    return spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.content_type(F.col("text")).alias("kind"))
 
 
 @query("compress_text")
 def compress_text(spark, sf_dir):
     """No SQL: sentence rules; tests hold it against the rules' own examples."""
-    d = table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), "text")
+    d = spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), "text")
     return d.select("id", tx.compress(F.col("text")).alias("text"), F.octet_length("text").alias("before"))
 
 
 @query("count_tokens", f"SELECT {D} AS id, len(regexp_extract_all(text, '\\pL{{1,6}}|\\pN{{1,3}}|[^\\s\\pL\\pN]'))::BIGINT AS n FROM documents")
 def count_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(key("doc_id").alias("id"), tx.count_tokens(F.col("text")).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(key("doc_id").alias("id"), tx.count_tokens(F.col("text")).alias("n"))
 
 
 # ---------------------------------------------------------------------------- expressions

@@ -40,7 +40,7 @@ def sentence_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]")))).cast("long")
 
 
-_TOKEN_SPLIT = re.compile(SEPARATOR)
+_BLANKS = str.maketrans(dict.fromkeys("!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~", " "))  # SEPARATOR, but for white space
 _STOPPED = frozenset(STOP_WORDS)
 
 
@@ -49,7 +49,7 @@ def keyword_list(text: str | None, k: int = 10) -> list[str] | None:
     if text is None:
         return None
     counts: Counter[str] = Counter()
-    for raw, n in Counter(_TOKEN_SPLIT.split(text)).items():
+    for raw, n in Counter(text.translate(_BLANKS).split()).items():
         w = raw.lower()
         if not w.isalnum():
             keep = [i for i, c in enumerate(w) if c.isalnum()]
@@ -96,36 +96,43 @@ _BRACKETED = r"^\[(ERROR|WARN|INFO|DEBUG|TRACE)\]|^\[\d{4}-\d{2}-\d{2}"
 _LOG_LINE = r" (INFO|WARN|ERROR|DEBUG|TRACE) |\[(info|warn|error)\]|^(ERROR|WARN|INFO|DEBUG|TRACE)[ :\t]|^\[(ERROR|WARN|INFO|DEBUG|TRACE)\]"
 _STAMPED = r"^.{4}-..-..[T ]..:.{5,}"
 _SHORT_CODE = r"^(fn |pub fn |def |function |class |impl |struct |enum )"
-_KEYWORD = r"^(fn |pub fn |pub\(crate\) fn |def |function |async fn |class |impl |struct |enum |trait |const |let |use |import |from |#\[)"
+_WORDS = r"fn|pub fn|pub\(crate\) fn|def|function|async fn|class|impl|struct|enum|trait|const|let|use|import|from"
 
+# Tests of whole texts, line by line: a line begins after spaces, only a line feed (after a carriage return or not) ends it.
+_BRACED = r"[{}][^\n]*"
+_INDENTED = r"(?md)^(?:    |\t)"
+_CLOSED = r"; *(?:\r?\n|\z)"
+_KEYWORD = rf"(?md)^ *(?:(?:{_WORDS}) +(?:[^ \r\n]|\r(?!\n))|#\[)"
+_ERROR = r"(?md)^ *(?:Error:|error:|error\[)"
+_EXCEPTION = r"(?md)^ *Exception:"
+_FRAME = r"(?md)^ *at [^\n]*(?:\(|::)"
+HEAD = 10
 
-def _lines(text: Column) -> Column:
-    """Lines without their ends; a last line end makes no line."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n"))
 
+def _n_lines(text: Column) -> Column:
+    """Lines of a text; a last line end makes no line."""
+    return F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + F.when(text.endswith("\n"), 0).otherwise(1))
 
-def _share(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test)).cast("double")
+
+def _head(text: Column) -> Column:
+    """The first lines without their ends."""
+    first = F.substring_index(text, "\n", HEAD)
+    first = F.when(F.length(first) < F.length(text), F.regexp_replace(first, r"\r\z", "")).otherwise(F.regexp_replace(text, r"\r?\n\z", ""))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(first, r"\r?\n"))
 
 
 def content_type(text: Column) -> Column:
-    """json, log, code, error or prose."""
-    lines, left = _lines(text), F.ltrim(F.regexp_replace(text, r"^\s+", ""))
-    head = F.slice(lines, 1, 10)
+    """json, log, code, error or prose. Lines are counted by patterns over the whole text; only its head is split."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    left, head, lines = F.ltrim(F.regexp_replace(text, r"^\s+", "")), _head(text), _n_lines(text)
     n_log = F.size(F.filter(head, lambda l: F.trim(l).rlike(_LOG_LINE) | F.trim(l).rlike(_STAMPED)))
     is_json = (left.startswith("{") | left.startswith("[")) & ~left.rlike(_BRACKETED)
     is_log = (F.size(head) >= 3) & (n_log >= 2)
-    total = F.size(lines).cast("double")
-    structure = (
-        _share(lines, lambda l: l.contains("{") | l.contains("}")) + _share(lines, lambda l: l.startswith("    ") | l.startswith("\t"))
-        + _share(lines, lambda l: F.rtrim(l).endswith(";"))
-    ) / (F.lit(3.0) * total)
-    named = _share(lines, lambda l: F.trim(l).rlike(_KEYWORD)) / total
-    is_code = F.when(F.size(lines) <= 2, F.trim(text).rlike(_SHORT_CODE)).otherwise((structure > 0.15) & (named > 0.05))
+    structure = (count(_BRACED) + count(_INDENTED) + count(_CLOSED)) / (F.lit(3.0) * lines)
+    is_code = F.when(lines <= 2, F.trim(text).rlike(_SHORT_CODE)).otherwise((structure > 0.15) & (count(_KEYWORD) / lines > 0.05))
     signs = [
         text.contains("panicked at"), text.contains("Traceback"), text.contains("stack trace"), text.contains("thread '") & text.contains("panicked"),
-        F.exists(lines, lambda l: F.trim(l).rlike(r"^(Error:|error:|error\[)")), F.exists(lines, lambda l: F.trim(l).startswith("Exception:")),
-        F.size(F.filter(lines, lambda l: F.trim(l).startswith("at ") & (l.contains("(") | l.contains("::")))) >= 2, text.contains("Caused by:"),
+        text.rlike(_ERROR), text.rlike(_EXCEPTION), count(_FRAME) >= 2, text.contains("Caused by:"),
     ]
     n_signs = sum((F.when(s, 1).otherwise(0) for s in signs[1:]), F.when(signs[0], 1).otherwise(0))
     return F.when(is_json, "json").when(is_log, "log").when(is_code, "code").when(n_signs >= 2, "error").otherwise("prose")

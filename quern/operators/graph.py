@@ -146,7 +146,7 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     top = degree.agg(F.coalesce(F.max("deg"), F.lit(0)).alias("max_degree"))
     n = F.col("node_count")
     pairs = n.cast("double") * (n - 1) / 2
-    return counted.join(m).join(top).select(
+    return counted.join(F.broadcast(m)).join(F.broadcast(top)).select(
         "node_count", "edge_count", F.when(n > 0, F.col("total") / n).otherwise(0.0).alias("avg_degree"), "max_degree", "orphan_count",
         F.when(n < 2, 0.0).otherwise(F.col("edge_count") / pairs).alias("density"),
     )
@@ -163,12 +163,14 @@ def cluster_table(members: DataFrame, edges: DataFrame, algorithm: str, min_size
     ends = w.join(a, "src", "left").join(b, "dst", "left")
     inner = ends.where("ka = kb").groupBy(F.col("ka").alias("key")).agg(F.sum("w").alias("inside"))
     touch = ends.select("w", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("key")).where("key is not null").groupBy("key").agg(F.sum("w").alias("incident"))
-    groups = members.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("member_ids"), F.count(F.lit(1)).cast("int").alias("size")).where(F.col("size") >= min_size)
+    sizes = members.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).cast("int").alias("size")).where(F.col("size") >= min_size)
+    number = F.row_number().over(Window.orderBy(F.desc("size"), "least"))  # one slim row per cluster
+    numbers = sizes.select("key", "size", (number - 1).alias("number"))
+    groups = members.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("member_ids")).join(numbers, "key")
     c = groups.join(inner, "key", "left").join(touch, "key", "left")
-    number = F.row_number().over(Window.orderBy(F.desc("size"), F.element_at("member_ids", 1)))  # one row per cluster
     score = F.least(F.lit(1.0), F.coalesce("inside", F.lit(0.0)) / F.greatest(F.lit(1.0), F.coalesce("incident", F.lit(0.0))))
     return c.select(
-        F.format_string("%s-%03d", F.lit(algorithm), number - 1).alias("cluster_id"), F.lit(algorithm).alias("algorithm"), "member_ids", "size", score.alias("coherence_score")
+        F.format_string("%s-%03d", F.lit(algorithm), "number").alias("cluster_id"), F.lit(algorithm).alias("algorithm"), "member_ids", "size", score.alias("coherence_score")
     )
 
 
@@ -292,6 +294,15 @@ def semantic_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     Prefix filter: tokens are ordered by rarity, and two sets can only be that similar if they share one
     of the first ``n - ceil(t * n) + 1`` tokens of each. Sets that are alike are joined once.
     """
+    member, sims = semantic_classes(sets, threshold)
+    m, w = member.select(F.col("c").alias("a"), F.col("id").alias("i")), member.select(F.col("c").alias("b"), F.col("id").alias("j"))
+    across = sims.join(m, "a").join(w, "b").select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "s")
+    alike = m.join(w, F.col("a") == F.col("b")).where("i < j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("s"))
+    return across.unionByName(alike).withColumnRenamed("s", "strength")
+
+
+def semantic_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(c, id): members of each class of equal sets, by its least id; and (a, b, s): similar classes."""
     if threshold <= 0:
         raise ValueError("the similarity threshold must be above 0")
     whole = cut(sets.where(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens"), "id"))
@@ -307,11 +318,45 @@ def semantic_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     oa, ob = ordered.select(F.col("c").alias("a"), F.col("o").alias("x")), ordered.select(F.col("c").alias("b"), F.col("o").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     sims = near.join(oa, "a").join(ob, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("s")).where(F.col("s") >= threshold)
-    member = whole.join(classes, "tokens").select("c", "id")
-    m, w = member.select(F.col("c").alias("a"), F.col("id").alias("i")), member.select(F.col("c").alias("b"), F.col("id").alias("j"))
-    across = sims.join(m, "a").join(w, "b").select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "s")
-    alike = m.join(w, F.col("a") == F.col("b")).where("i < j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("s"))
-    return across.unionByName(alike).withColumnRenamed("s", "strength")
+    return whole.join(classes, "tokens").select("c", "id"), sims
+
+
+def semantic_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, class, links): what ``semantic_pairs`` links, one row per node: its class of equal sets and its number of links."""
+    member, sims = semantic_classes(token_sets(nodes), threshold)
+    size = cut(member.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    both = sims.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(sims.select(F.col("b").alias("c"), F.col("a").alias("o")))
+    out = both.join(size.select(F.col("c").alias("o"), "n"), "o").groupBy("c").agg(F.sum("n").alias("others"))
+    return member.join(size, "c").join(out, "c", "left").select("id", F.col("c").alias("class"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+
+
+def category_links(nodes: DataFrame) -> DataFrame:
+    """(id, class, links): what ``category_pairs`` links, one row per node: the least id of its category and its links."""
+    n = nodes.select("id", paths.lookup(nodes, "category").string.alias("c")).where("c is not null and c != ''")
+    per = n.groupBy("c").agg(F.min("id").alias("class"), (F.count(F.lit(1)) - 1).alias("links"))
+    return n.join(per, "c").select("id", "class", "links")
+
+
+def temporal_links(nodes: DataFrame, min_strength: float) -> DataFrame:
+    """(id, links, strength): what ``temporal_pairs`` links, one row per node: its number of links and their strengths'
+    sum. Nodes are counted per second first, so a task holds three days of seconds at most, however many nodes."""
+    n = nodes.select("id", F.unix_timestamp("timestamp").alias("t")).where("t is not null")
+    seconds = n.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    near = seconds.withColumn("own", F.floor(F.col("t") / DAY_S)).withColumn("d", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        t, k = rows["t"].to_numpy(), rows["n"].to_numpy()
+        at = np.flatnonzero((rows["own"] == rows["d"]).to_numpy())
+        base = t[0]
+        sums, moments = np.concatenate([[0], np.cumsum(k)]), np.concatenate([[0], np.cumsum(k * (t - base))])
+        low, high = np.searchsorted(t, t[at] - DAY_S), np.searchsorted(t, t[at] + DAY_S, "right")
+        links = sums[high] - sums[low]
+        apart = (moments[high] - moments[at]) - (sums[high] - sums[at]) * (t[at] - base) + (sums[at] - sums[low]) * (t[at] - base) - (moments[at] - moments[low])
+        return pd.DataFrame({"t": t[at], "links": links - 1, "strength": links - 1 - (1.0 - min_strength) * apart / DAY_S})
+
+    per = near.groupBy("d").applyInPandas(count, "t long, links long, strength double")
+    return n.join(per, "t").select("id", "links", "strength")
 
 
 def category_pairs(nodes: DataFrame) -> DataFrame:

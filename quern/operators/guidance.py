@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.sources.store import overlay
@@ -31,8 +31,7 @@ def spans(table: DataFrame, ids: list[str]) -> DataFrame:
 
 def push(events: DataFrame, new: DataFrame) -> DataFrame:
     """The newest MAX_EVENTS events (seq, ...)."""
-    newest = F.row_number().over(Window.orderBy(F.desc("seq")))  # a bounded log
-    return events.unionByName(new).withColumn("_n", newest).where(F.col("_n") <= MAX_EVENTS).drop("_n")
+    return events.unionByName(new).orderBy(F.desc("seq")).limit(MAX_EVENTS)
 
 
 def recent(events: DataFrame, limit: int) -> DataFrame:

@@ -98,9 +98,9 @@ def knn(df: DataFrame, query: list[float], limit: int, column: str = "embedding"
 
 
 def vector_search(df: DataFrame, query: list[float], limit: int = 10, min_score: float = 0.0, now: Column | str | None = None, column: str = "embedding") -> DataFrame:
-    """Nearest by similarity first, then ranked by the blended score; adds similarity, quality and score."""
-    if not 0 <= min_score <= 1:
-        raise ValueError("the threshold must lie between 0 and 1")
+    """Nearest by similarity first, then ranked by the blended score; adds similarity, quality and score. A threshold
+    beyond 0 to 1 is moved to the nearer end, one that is no number counts as 0."""
+    min_score = min(1.0, max(0.0, min_score)) if math.isfinite(min_score) else 0.0
     found = knn(df, query, limit, column)
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp") if isinstance(now, str) else now
     q = F.col("quality_score").cast("double") if "quality_score" in df.columns else quality(df, at)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import rules
+from quern.plans.staging import cut
 
 CHANGE = "seq long, op string, id string, actor string, data string, ts timestamp"
 
@@ -76,16 +77,23 @@ def dispatch(events: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFr
     return {t: handlers[t](events.where(F.col(column) == t)) for t in types}
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``k``, the place of each row by ``order`` from 1 on: rows are dealt by ranges of it, and a row's place is that
+    in its range and the number of rows in the ranges before."""
+    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a count per range
+    before = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(before, "_part").withColumn("k", (own + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def queue_zip(queues: list[DataFrame], order: str = "seq", depth: str = "depth", max_depth: int = 25) -> DataFrame:
     """Firings of a procedure that takes one item from each input queue, first in first out: k-th with k-th.
-    The output's depth is the largest input depth and one; beyond ``max_depth`` nothing fires."""
-    numbered = []
+    The output's depth is the largest input depth and one; beyond ``max_depth`` nothing fires. Each table is one queue."""
+    out = None
     for i, q in enumerate(queues):
-        n = F.row_number().over(Window.partitionBy("queue").orderBy(order)) if "queue" in q.columns else F.row_number().over(Window.orderBy(order))
-        numbered.append(q.select(n.alias("k"), F.col("value").alias(f"value_{i}"), F.col(depth).alias(f"depth_{i}")))
-    out = numbered[0]
-    for q in numbered[1:]:
-        out = out.join(q, "k")
+        q = numbered(q, order).select("k", F.col("value").alias(f"value_{i}"), F.col(depth).alias(f"depth_{i}"))
+        out = q if out is None else out.join(q, "k")
     depths = [F.col(f"depth_{i}") for i in range(len(queues))]
     out = out.withColumn("depth", (F.greatest(*depths) if len(depths) > 1 else depths[0]) + 1).where(F.col("depth") <= max_depth)
     return out.select("k", *[f"value_{i}" for i in range(len(queues))], "depth")
