@@ -153,11 +153,10 @@ def auto_link_category(spark, sf_dir):
     "auto_link_temporal",
     f"""WITH s AS (SELECT event_id, floor(epoch(ts)) AS t FROM events), n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
     p AS (SELECT a.t, sum(b.n) AS links, sum(b.n * abs(a.t - b.t)) AS apart FROM n a JOIN n b ON b.t BETWEEN a.t - 86400 AND a.t + 86400 GROUP BY a.t)
-    SELECT {k("event_id")} AS id, (links - 1)::BIGINT AS links, round((links - 1)::DOUBLE - 0.5::DOUBLE * apart / 86400, 4) AS strength FROM s JOIN p USING (t)""",
+    SELECT {k("event_id")} AS id, (links - 1)::BIGINT AS links, apart::BIGINT AS apart FROM s JOIN p USING (t)""",
 )
 def auto_link_temporal(spark, sf_dir):
-    links = graph.temporal_links(event_nodes(spark, sf_dir), 0.5)
-    return links.select("id", "links", F.round("strength", 4).alias("strength"))
+    return graph.temporal_links(event_nodes(spark, sf_dir), 0.5).select("id", "links", "apart")
 
 
 @query(

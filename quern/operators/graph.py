@@ -338,8 +338,8 @@ def category_links(nodes: DataFrame) -> DataFrame:
 
 
 def temporal_links(nodes: DataFrame, min_strength: float) -> DataFrame:
-    """(id, links, strength): what ``temporal_pairs`` links, one row per node: its number of links and their strengths'
-    sum. Nodes are counted per second first, so a task holds three days of seconds at most, however many nodes."""
+    """(id, links, apart, strength): what ``temporal_pairs`` links, one row per node: its number of links, the seconds
+    that these are apart together, and their strengths' sum. Nodes are counted per second first, so a task holds three days of seconds at most, however many nodes."""
     n = nodes.select("id", F.unix_timestamp("timestamp").alias("t")).where("t is not null")
     seconds = n.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     near = seconds.withColumn("own", F.floor(F.col("t") / DAY_S)).withColumn("d", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
@@ -353,10 +353,11 @@ def temporal_links(nodes: DataFrame, min_strength: float) -> DataFrame:
         low, high = np.searchsorted(t, t[at] - DAY_S), np.searchsorted(t, t[at] + DAY_S, "right")
         links = sums[high] - sums[low]
         apart = (moments[high] - moments[at]) - (sums[high] - sums[at]) * (t[at] - base) + (sums[at] - sums[low]) * (t[at] - base) - (moments[at] - moments[low])
-        return pd.DataFrame({"t": t[at], "links": links - 1, "strength": links - 1 - (1.0 - min_strength) * apart / DAY_S})
+        return pd.DataFrame({"t": t[at], "links": links - 1, "apart": apart})
 
-    per = near.groupBy("d").applyInPandas(count, "t long, links long, strength double")
-    return n.join(per, "t").select("id", "links", "strength")
+    per = near.groupBy("d").applyInPandas(count, "t long, links long, apart long")
+    strength = F.col("links") - F.lit(1.0 - min_strength) * F.col("apart") / DAY_S
+    return n.join(per, "t").select("id", "links", "apart", strength.alias("strength"))
 
 
 def category_pairs(nodes: DataFrame) -> DataFrame:

@@ -89,20 +89,6 @@ def test_jaccard_join_like_all_pairs(spark, sets, t):
             if set(x) | set(y) and (j := len(set(x) & set(y)) / len(set(x) | set(y))) >= t:
                 want[a, b] = pytest.approx(j)
     assert got == want
-    links = {r.id: (r.links, r.strength) for r in graph.temporal_links(df, 0.5).collect()}
-    for i in range(6):
-        own = [1 - 0.5 * abs(t[j] - t[i]) / 86400 for j in range(6) if j != i and abs(t[j] - t[i]) <= 86400]
-        assert links[f"t{i}"] == (len(own), pytest.approx(sum(own)))
-
-
-def test_compact_links_count_the_pairs(spark):
-    rows = [(f"a{i:02d}", {"category": "alpha" if i < 9 else "beta", "text": " ".join("abcdefgh"[: 1 + i % 6])}) for i in range(15)] + [("z", {"text": "x"})]
-    d = store.nodes_from_json(spark, rows)
-    for pairs, compact in ((graph.category_pairs(d), graph.category_links(d)), (graph.semantic_pairs(graph.token_sets(d), 0.5), graph.semantic_links(d, 0.5))):
-        n = {}
-        for r in pairs.collect():
-            n[r.src], n[r.dst] = n.get(r.src, 0) + 1, n.get(r.dst, 0) + 1
-        assert {r.id: r.links for r in compact.collect() if r.links} == n and n
 
 
 def test_trace(spark):
