@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.catalog import graphs, logs, pipelines, procedures, searches, texts
+from quern.catalog import control, graphs, logs, pipelines, procedures, searches, texts
 from quern.catalog.base import ORACLES, QUERIES
 
-__all__ = ["queries", "oracle_sql", "flagship", "graphs", "logs", "pipelines", "procedures", "searches", "texts"]
+__all__ = ["queries", "oracle_sql", "flagship", "control", "graphs", "logs", "pipelines", "procedures", "searches", "texts"]
 
 
 def queries() -> dict:

@@ -53,6 +53,23 @@ def compare(v: paths.Value, op: str, literal, regex: bool = False) -> Column:
     return ~equals(v, literal) if op == "!=" else _false(_raw(v, op, literal, regex))
 
 
+#: Operators of a visual query builder, by what they mean here.
+VISUAL = {
+    "equals": lambda v, x: equals(v, x), "not": lambda v, x: ~equals(v, x), "contains": lambda v, x: compare(v, "contains", x),
+    "not_contains": lambda v, x: ~compare(v, "contains", x), "starts": lambda v, x: compare(v, "starts_with", x),
+    "ends": lambda v, x: _false(v.string.endswith(x)), "gt": lambda v, x: compare(v, ">", x), "lt": lambda v, x: compare(v, "<", x),
+    "is_empty": lambda v, x: v.absent | _false(v.string == ""), "is_not_empty": lambda v, x: ~(v.absent | _false(v.string == "")),
+}
+
+
+def visual(df: DataFrame, group: dict) -> Column:
+    """The condition of a group ``{"join": "and" or "or", "rules": [...]}`` of rules (field, op, value) and groups."""
+    parts = [visual(df, r) if "rules" in r else VISUAL[r["op"]](paths.lookup(df, r["field"]), r.get("value")) for r in group["rules"]]
+    if not parts:
+        return F.lit(True)
+    return reduce(lambda a, b: a & b if group.get("join", "and") == "and" else a | b, parts)
+
+
 def predicate(df: DataFrame, p: ir.Predicate) -> Column:
     """A column that is true or false, never NULL."""
     match p:

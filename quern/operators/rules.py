@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -202,6 +202,21 @@ def compile_nl(text: str, id: str) -> Constraint:
     return Constraint(id, when or Always(), require, severity, text)
 
 
+CORRECTION = "[correction] "
+
+
+def apply_correction(book: dict[str, Constraint], text: str, id: str) -> tuple[dict[str, Constraint], bool, str]:
+    """The constraints with one that a user's words make, under ``id``; whether it is new; and what to tell the user."""
+    made = compile_nl(text, id)
+    rule = replace(made, description=CORRECTION + made.description)
+    return {**book, id: rule}, id not in book, f"Got it, I'll remember to {made.description} going forward."
+
+
+def undo_correction(book: dict[str, Constraint], id: str) -> tuple[dict[str, Constraint], Constraint | None]:
+    """The constraints without that of ``id``, and that one if there was any."""
+    return {k: c for k, c in book.items() if k != id}, book.get(id)
+
+
 def gaps(evidence: DataFrame) -> DataFrame:
     """Evidence whose status is unknown."""
     return evidence.where(F.coalesce(F.col("status"), F.lit("unknown")) == "unknown")

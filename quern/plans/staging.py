@@ -23,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for files that a plan writes and reads again."""
+    checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")

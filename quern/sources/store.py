@@ -228,6 +228,89 @@ def blobs(df: DataFrame, content: str) -> DataFrame:
     return df.select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.col(content).alias("content")).dropDuplicates(["hash"])
 
 
+class Blobs:
+    """A content-addressed table (hash, content); writes make a new one."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def put(self, df: DataFrame, content: str) -> "Blobs":
+        new = blobs(df, content)
+        return Blobs(self.table.unionByName(new.join(self.table.select("hash"), "hash", "left_anti")))
+
+    def get(self, hashes: list[str]) -> DataFrame:
+        return self.table.where(F.col("hash").isin(hashes))
+
+    def exists(self, hash: str) -> bool:
+        return not self.get([hash]).isEmpty()
+
+    def delete(self, hashes: list[str]) -> "Blobs":
+        return Blobs(self.table.where(~F.col("hash").isin(hashes)))
+
+
+FLUSH = 256
+
+
+def flush(log: DataFrame, order: str = "seq", batch: int = FLUSH) -> DataFrame:
+    """A log as blobs of ``batch`` entries each, in order: (batch, first, last, hash, content), content being JSON lines."""
+    from quern.streaming.changes import numbered
+
+    rows = numbered(log, order).withColumn("batch", F.floor((F.col("k") - 1) / batch))
+    line = F.struct("k", F.to_json(F.struct(*log.columns)).alias("line"))
+    lines = rows.groupBy("batch").agg(F.array_sort(F.collect_list(line)).alias("l"), F.min(order).alias("first"), F.max(order).alias("last"))  # of bounded size
+    content = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return lines.select("batch", "first", "last", F.sha2(content.cast("binary"), 256).alias("hash"), content.alias("content"))
+
+
+HISTORY = "taken long, label string, path string, hash string"
+
+
+def remember(history: DataFrame, entry: DataFrame, keep: int = 100) -> DataFrame:
+    """The newest ``keep`` snapshots (HISTORY) with one more; the oldest goes."""
+    return history.unionByName(entry).orderBy(F.desc("taken")).limit(keep)
+
+
+def recall(history: DataFrame, hash: str | None = None) -> str | None:
+    """Where the newest snapshot lies, or that of a hash; None if there is none."""
+    rows = history if hash is None else history.where(F.col("hash") == hash)
+    found = rows.orderBy(F.desc("taken")).select("path").head()
+    return found and found.path
+
+
+def write_daily(timeline: DataFrame, path: str, ts: str = "ts") -> None:
+    """One JSON line per entry, in a folder per day (UTC)."""
+    day = F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd")
+    timeline.select(day.alias("day"), F.to_json(F.struct(*timeline.columns)).alias("value")).write.partitionBy("day").text(path)
+
+
+class Plugin:
+    """Hooks on writes. Each default does nothing; a check is a column that is NULL for nodes that may be written."""
+
+    def validate(self, nodes: DataFrame) -> Column:
+        return F.lit(None).cast("string")
+
+    def schema_version(self, nodes: DataFrame) -> Column:
+        return F.lit(None).cast("string")
+
+    def on_written(self, nodes: DataFrame) -> None: ...
+
+    def on_deleted(self, ids: DataFrame) -> None: ...
+
+
+def write_checked(nodes: DataFrame, new: DataFrame, plugin: Plugin) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with those of ``new`` that the plugin admits, and (id, error) of the others."""
+    checked = new.withColumn("_error", plugin.validate(new))
+    good = checked.where("_error is null").drop("_error")
+    plugin.on_written(good)
+    return overlay(nodes, good), checked.where("_error is not null").select("id", F.col("_error").alias("error"))
+
+
+def delete_checked(nodes: DataFrame, ids: DataFrame, plugin: Plugin) -> DataFrame:
+    gone = nodes.join(ids, "id", "left_semi").select("id")
+    plugin.on_deleted(gone)
+    return nodes.join(ids, "id", "left_anti")
+
+
 def decode_vectors(df: DataFrame, column: str) -> DataFrame:
     """Little-endian 32-bit float blobs as vectors; those that are not valid become NULL."""
     @F.pandas_udf("array<float>")

@@ -85,3 +85,17 @@ def advance(timers: DataFrame, now_ms: int) -> DataFrame:
 def retry_delay(attempt: Column) -> Column:
     """Seconds before an attempt: powers of two, five minutes at most."""
     return F.least(F.lit(float(RETRY_CAP_S)), F.pow(F.lit(2.0), attempt))
+
+
+def claim(timers: DataFrame, claims: DataFrame, now_ms: int, stale_ms: int = 60_000) -> DataFrame:
+    """Claims (id, token, at_ms) for the due timers that nobody holds: a claim older than ``stale_ms`` counts as lost, so
+    each firing is delivered at least once."""
+    held = claims.where(F.col("at_ms") > now_ms - stale_ms).select("id")
+    free = due(timers, now_ms).join(held, "id", "left_anti")
+    token = F.sha2(F.concat_ws(":", "id", F.col("next_ms").cast("string"), F.lit(str(now_ms))), 256)
+    return free.select("id", token.alias("token"), F.lit(now_ms).cast("long").alias("at_ms"))
+
+
+def backed_off(failures: DataFrame, now_ms: int) -> DataFrame:
+    """Timers (id, attempts, failed_ms) that wait until their next attempt."""
+    return failures.where(F.col("failed_ms") + retry_delay(F.col("attempts")) * 1000 > now_ms).select("id")
