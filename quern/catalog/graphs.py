@@ -75,6 +75,13 @@ def graph_pagerank(spark, sf_dir):
     return ranks.select("id", F.round("pagerank_score", 10).alias("pagerank_score"))
 
 
+@query("graph_pagerank_step", _pagerank_sql(3, 0.5))
+def graph_pagerank_step(spark, sf_dir):
+    """The pipeline step, with its score in each node's data."""
+    df = _engine(spark, sf_dir).dsl("graph_pagerank(damping: 0.5, iterations: 3)").df
+    return df.select("id", F.round(F.col("data")["pagerank_score"], 10).alias("pagerank_score"))
+
+
 @query(
     "graph_stats",
     f"""WITH e AS ({EDGES_SQL}), n AS ({NODES_SQL}), d AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),

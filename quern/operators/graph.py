@@ -75,7 +75,9 @@ def neighbor_ids(edges: DataFrame, root: str, depth: int = 1, min_strength=None,
             front = cut(front)
             if front.isEmpty():
                 break
-        seen = seen.unionByName(front)
+            seen = cut(seen.unionByName(front))
+        else:
+            seen = seen.unionByName(front)
     return seen.where("hops > 0")
 
 
@@ -115,12 +117,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     e = _sound(edges).select("src", "dst")
     vertices = data_nodes(nodes).select("id").union(e.select("src")).union(e.select("dst")).distinct()
     out_degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    vertices = cut(vertices.join(out_degree, vertices.id == out_degree.src, "left").select("id", "out"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt once: rounds join what lies together
+    vertices = cut(vertices.join(out_degree, vertices.id == out_degree.src, "left").select("id", "out").repartition(tasks, "id"))
     n = vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("pagerank_score"))
     # parallel edges are one row with a count
-    e = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")))
+    e = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).repartition(tasks, "src"))
     ranks = vertices.select("id", "out", F.lit(1.0 / n).alias("r"))
     for i in range(iterations):
         sent = ranks.where("out is not null").join(e, ranks.id == e.src).groupBy("dst").agg(F.sum(F.col("r") * F.col("k") / F.col("out")).alias("got"))

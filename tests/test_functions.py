@@ -158,3 +158,42 @@ def test_uuid5(spark):
     names = ["sft:a:b", "", "dpo:ä:1:2"]
     got = [r.u for r in spark.createDataFrame([(n,) for n in names], "n string").select(pr.uuid5(pr.PAIR_NAMESPACE, F.col("n")).alias("u")).collect()]
     assert got == pr.uuid5_python(pd.Series(names)).tolist()
+
+
+def plain_content_type(text):
+    """The rules line by line."""
+    import re
+
+    body = re.sub(r"\r?\n\Z", "", text)
+    lines = re.split(r"\r?\n", body) if text else []
+    left = re.sub(r"^\s+", "", text, flags=re.A)
+    if left[:1] in ("{", "[") and not re.search(r"^\[(ERROR|WARN|INFO|DEBUG|TRACE)\]|^\[\d{4}-\d{2}-\d{2}", left):
+        return "json"
+    head = [l.strip(" ") for l in lines[:10]]
+    if len(head) >= 3 and sum(bool(re.search(tx._LOG_LINE, l) or re.search(tx._STAMPED, l)) for l in head) >= 2:
+        return "log"
+    words = re.compile(r"^(fn |pub fn |pub\(crate\) fn |def |function |async fn |class |impl |struct |enum |trait |const |let |use |import |from |#\[)")
+    if len(lines) <= 2:
+        code = bool(re.search(tx._SHORT_CODE, text.strip(" ")))
+    else:
+        structure = sum(("{" in l or "}" in l) + l.startswith(("    ", "\t")) + l.rstrip(" ").endswith(";") for l in lines) / (3 * len(lines))
+        code = structure > 0.15 and sum(bool(words.search(l.strip(" "))) for l in lines) / len(lines) > 0.05
+    if code:
+        return "code"
+    signs = ["panicked at" in text, "Traceback" in text, "stack trace" in text, "thread '" in text and "panicked" in text, "Caused by:" in text]
+    signs += [any(re.search(r"^(Error:|error:|error\[)", l.strip(" ")) for l in lines), any(l.strip(" ").startswith("Exception:") for l in lines)]
+    signs.append(sum(l.strip(" ").startswith("at ") and ("(" in l or "::" in l) for l in lines) >= 2)
+    return "error" if sum(signs) >= 2 else "prose"
+
+
+def test_content_types_against_plain_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["\n", "\r\n", "\r", "    ", "\t", "{", "}", ";", "; ", "def f", "let ", "let x", "use  ", "fn a()", "#[x", " at f(", " at g::h", "Error: no", "Exception:", "Caused by:", "Traceback", "2024-01-02 10:00:00 x", " INFO ", "[ERROR] a", "word", " ", "[2024-01-01", "[1]"]
+    texts = ["", "\n", "\r\n", "a\n\n"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.k for r in df.select("i", tx.content_type(F.col("t")).alias("k")).collect()}
+    wrong = [(t, got[i], plain_content_type(t)) for i, t in enumerate(texts) if got[i] != plain_content_type(t)]
+    assert not wrong, wrong[:3]
+    assert len({got[i] for i in got}) == 5
