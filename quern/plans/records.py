@@ -129,7 +129,7 @@ def run_scenario(program: Program, name: str, actions: dict | None = None, check
     for i, e in enumerate(scenario.get("expect", [])):
         if e["check"] not in table:
             raise ValueError(f"unknown check {e['check']!r}")
-        out[f"{i}:{e['check']}"] = bool(table[e["check"]](state, e.get("params", {})))
+        out[f"{i}:{e['check']}"] = bool(table[e["check"]](state, e.get("params", {}))) != e.get("not", False)
     return out
 
 
