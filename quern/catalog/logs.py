@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.catalog.base import HISTORY_SQL, LOG_SQL, TIMELINE_SQL, command_history, k, key, query, table, timeline, write_log
+from quern.catalog.base import HISTORY_SQL, LOG_SQL, TIMELINE_SQL, command_history, k, query, table, timeline, write_log
 from quern.operators import merge
 from quern.operators import timeline as tl
 from quern.plans.sqlcompat import Database

@@ -91,6 +91,7 @@ def collapse(text: Column) -> Column:
 
 # ---------------------------------------------------------------------------- content types
 
+# The signs of log lines, declarations, errors and stack frames by which kinds of texts are told apart.
 LEVELS = ["ERROR", "WARN", "INFO", "DEBUG", "TRACE"]
 _BRACKETED = r"^\[(ERROR|WARN|INFO|DEBUG|TRACE)\]|^\[\d{4}-\d{2}-\d{2}"
 _LOG_LINE = r" (INFO|WARN|ERROR|DEBUG|TRACE) |\[(info|warn|error)\]|^(ERROR|WARN|INFO|DEBUG|TRACE)[ :\t]|^\[(ERROR|WARN|INFO|DEBUG|TRACE)\]"
@@ -214,7 +215,8 @@ def compress_prose(text: str) -> str:
     return " ".join([*s[:3], f"[… {len(s) - 6} sentences elided …]", *s[-3:]]).rstrip()
 
 
-#: Signs of a language, in the order in which they are tried: any group of which all strings occur.
+# The signs of languages, in the order in which they are tried (any group of which all strings occur), and
+# what a line looks like that declares something in each.
 _LANGUAGES = [
     ("rust", [("fn ", "let "), ("fn ", "impl ")]),
     ("python", [("def ", ":")]),

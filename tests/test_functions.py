@@ -197,3 +197,21 @@ def test_content_types_against_plain_lines(spark):
     wrong = [(t, got[i], plain_content_type(t)) for i, t in enumerate(texts) if got[i] != plain_content_type(t)]
     assert not wrong, wrong[:3]
     assert len({got[i] for i in got}) == 5
+
+
+@pytest.mark.parametrize(
+    "text, lang, kept",
+    [
+        ("fn main() {\n    let x = 1;\n}\npub struct A {\n}", "rust", ["fn main() {", "pub struct A {"]),
+        ("import os\ndef f(x):\n    return x\nclass B:\n    pass\nasync def g():\n    pass", "python", ["def f(x):", "class B:", "async def g():"]),
+        ("function a() {}\nconst f = (x) => {\n};\nvar y = 2;", "javascript", ["function a() {}", "const f = (x) => {"]),
+        ("public class A {\n  int size() {\n  }\n  // no(t);\n}", "java", ["int size() {"]),
+        ("#include <x>\nint main() {\n  std::cout;\n}", "cpp", ["int main() {"]),
+        ("package main\nfunc f() {\n}\nx := g(1)", "go", ["func f() {", "x := g(1)"]),
+        ("SELECT a, count(*) FROM t\nWHERE b", "sql", ["SELECT a, count(*) FROM t"]),
+        ("plain (words) here\nno brackets", "unknown", ["plain (words) here"]),
+    ],
+)
+def test_languages_and_signatures(text, lang, kept):
+    assert tx.language(text) == lang and tx.signatures(text, lang) == kept
+    assert tx.compress_code(text).splitlines()[1:] == kept
