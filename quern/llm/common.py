@@ -37,12 +37,23 @@ def _hadoop_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
+def _tidy(df: DataFrame) -> DataFrame:
+    """The same plan in a copy of its session, in which a write's shuffle files go when it ends: the table that it
+    wrote needs them no more. The caller's session keeps its settings."""
+    spark = df.sparkSession
+    copy = spark._jsparkSession.cloneSession()
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    own = spark.__class__(spark.sparkContext, copy)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return DataFrame(plan, own)
+
+
 def staged(df: DataFrame, what: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage is cut there, and a lost
     executor costs a reread, not a recomputation. Staged tables that only this one reads, ``done``, are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _tidy(df).write.parquet(path)
     for table in done:
         old = _hadoop_path(spark, table.staged_path)
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)

@@ -190,10 +190,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
             exact = np.cumsum(a[s + qi] * b[bi], axis=1)[:, -1]
             order = np.lexsort([b_ids[bi], -exact, qi])
             qi, bi, exact = qi[order], bi[order], exact[order]
-            hits = pd.DataFrame({"row": qi, "query_id": a_ids[s + qi], "vec_id": b_ids[bi], "score": exact})
-            hits = hits.drop_duplicates(["row", "vec_id"])  # the best of each id stands first
-            out.append(hits[hits.groupby("row").cumcount() < k].drop(columns="row"))
-        return pd.concat(out).drop_duplicates()
+            if len(firsts) < len(b):  # the best of each id stands first
+                _, best = np.unique(np.stack([qi, b_ids[bi]]), axis=1, return_index=True)
+                best.sort()
+                qi, bi, exact = qi[best], bi[best], exact[best]
+            near = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+            out.append((a_ids[s + qi[near]], b_ids[bi[near]], exact[near]))
+        query, vec, score = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
     found = both.groupBy(*cell, "m", "c").applyInPandas(nearest, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -44,28 +44,45 @@ BLOCK, PATTERNS, KEPT = 2 << 20, 50_000, 500_000
 #: Ways in which the copies of one text are dealt out.
 SALT = 32
 LAST = (1 << 63) - 1
-_HASHES: dict[bytes, int] = {}
 A, B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+class _Digests(dict):
+    """128-bit hashes of words, kept for the next text."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_128_intdigest(word).to_bytes(16, "little")
+        return h
+
+
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_HASHES = _Digests()
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     """128-bit hashes of words, as two columns."""
-    kept, out, digest = _HASHES, [], xxhash.xxh3_128_intdigest
-    for w in words:
-        h = kept.get(w)
-        if h is None:
-            if len(kept) >= KEPT:
-                kept.clear()
-            h = kept[w] = digest(w).to_bytes(16, "little")
-        out.append(h)
-    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def _runs(h: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words."""
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(base) + h[k : k + len(out)]
+    """Hashes of all runs of ``n`` words: polynomials in ``base``, put together from runs of powers of two."""
+    out, width, power, size = np.zeros(len(h) - n + 1, np.uint64), 0, h, 1
+    while size <= n:
+        if n & size:  # the runs of ``size`` words that follow those in ``out``
+            out = out * np.uint64(pow(base, size, 1 << 64)) + power[width : width + len(out)]
+            width += size
+        if 2 * size <= n:
+            power = power[:-size] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
+        size *= 2
     return (out ^ (out >> np.uint64(31))) * np.uint64(B)
 
 
@@ -90,10 +107,10 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             least, phrases = _anchors(_hashes(words)[:, 0])
             own = np.unique(least)
             phrases = np.sort(phrases)
-            n = np.searchsorted(phrases, own, "right") - np.searchsorted(phrases, own)
+            again = phrases[1:][phrases[1:] == phrases[:-1]]
             found.append(own)
             blocks.append(np.full(len(own), block))
-            counts.append(np.minimum(n, 2))  # once or again is all that matters
+            counts.append(1 + np.isin(own, again) if len(again) else np.ones(len(own), np.int64))  # once or again is all that matters
         if found:
             yield pd.DataFrame({
                 "anchor": np.concatenate(found).view(np.int64), "block": np.concatenate(blocks), "n": np.concatenate(counts)
@@ -157,8 +174,11 @@ def _joined(passages: pd.DataFrame) -> list[tuple[int, int, int, int, int]]:
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
-    differs = np.flatnonzero(a[:n] != b[:n])
-    return int(differs[0]) if len(differs) else n
+    if not n:
+        return 0
+    differs = a[:n] != b[:n]
+    first = int(differs.argmax())
+    return first if differs[first] else n
 
 
 def _remove(doc: np.ndarray, key: int, hits, gone: np.ndarray, passages: list, words: list[np.ndarray]) -> None:
@@ -186,8 +206,8 @@ def _locate(_, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     gone = [np.full(len(t), c and len(t) >= WORDS) for t, c in zip(texts, copy)]
     passages = _joined(found[found["digest"] == ""])
     if passages:
-        number: dict[bytes, int] = {}
-        ids = [() if c else tuple([number.setdefault(w, len(number)) for w in t]) for t, c in zip(texts, copy)]
+        number = _Numbers().__getitem__
+        ids = [() if c else tuple(map(number, t)) for t, c in zip(texts, copy)]
         words = [np.array(x, np.int64) for x in ids]
         slots: dict[tuple, list[tuple[int, int]]] = {}
         for q, (row, s, e, _, _) in enumerate(passages):
