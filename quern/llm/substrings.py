@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -181,16 +182,20 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
     return first if differs[first] else n
 
 
-def _remove(doc: np.ndarray, key: int, hits, gone: np.ndarray, passages: list, words: list[np.ndarray]) -> None:
-    """Extends hits (place in the document, passage, place in the passage) and marks what is not first."""
+def _remove(place: int, doc: np.ndarray, key: int, hits, gone: np.ndarray, passages: list, words: list[np.ndarray]) -> None:
+    """Extends hits (place in the document, passage, place in the passage) of the document at ``place`` and marks what is
+    not first."""
     done: dict[tuple[int, int], int] = {}
     for p, q, o in hits:
         if done.get((q, p - o), -1) >= p + PIECE:
             continue
         row, s, e, first_key, first_start = passages[q]
-        passage = words[row][s:e]
-        left = _reach(doc[:p][::-1], passage[:o][::-1])
-        right = PIECE + _reach(doc[p + PIECE :], passage[o + PIECE :])
+        if row == place and s == p - o:  # the passage's own place
+            left, right = o, e - s - o
+        else:
+            passage = words[row][s:e]
+            left = _reach(doc[:p][::-1], passage[:o][::-1])
+            right = PIECE + _reach(doc[p + PIECE :], passage[o + PIECE :])
         done[q, p - o] = p + right
         if left + right >= WORDS and (key, p - left) > (first_key, first_start + o - left):
             gone[p - left : p + right] = True
@@ -219,11 +224,11 @@ def _locate(_, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
             for piece, places in pieces[s : s + PATTERNS]:
                 automaton.add_word(piece, places)
             automaton.make_automaton()
-            for key, doc, numbers, mark in zip(docs["key"].tolist(), ids, words, gone):
+            for row, (key, doc, numbers, mark) in enumerate(zip(docs["key"].tolist(), ids, words, gone)):
                 if len(doc) >= WORDS:
                     hits = ((end - PIECE + 1, q, o) for end, places in automaton.iter(doc) for q, o in places)
-                    _remove(numbers, key, hits, mark, passages, words)
-    kept = [hashlib.sha256(b" ".join([w for w, g in zip(t, m.tolist()) if not g] if m.any() else t)).hexdigest() for t, m in zip(texts, gone)]
+                    _remove(row, numbers, key, hits, mark, passages, words)
+    kept = [hashlib.sha256(b" ".join(compress(t, (~m).tolist()) if m.any() else t)).hexdigest() for t, m in zip(texts, gone)]
     return pd.DataFrame({
         "key": docs["key"], "missing": docs["missing"], "n_words": np.array([len(t) for t in texts], np.int64),
         "n_removed": np.array([int(m.sum()) for m in gone], np.int64), "kept_sha256": kept,

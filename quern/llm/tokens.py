@@ -28,6 +28,7 @@ import json
 import re
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -44,8 +45,8 @@ from quern.llm import common
 from quern.llm.elias_fano import EliasFano
 
 MAGIC, HEAD, END = b"QTOK2", "<BQQq", 2
-#: Ids in a file, words whose ids are kept, and bytes of a text that are cut into words at once.
-FILE_IDS, KEPT, PIECE = 4_000_000, 250_000, 1 << 20
+#: Ids in a file, words whose ids are kept twice (in use, and those before), and bytes of a text that are cut into words at once.
+FILE_IDS, KEPT, PIECE = 4_000_000, 150_000, 1 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -68,6 +69,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Kept(dict):
+    """Ids of words; a word that is not there is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.encode(word)
+
+
 class Encoder:
     """Little-endian id bytes of texts, word by word."""
 
@@ -77,7 +88,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self.kept: dict[bytes, bytes] = {}
+        self.kept = _Kept(self._word)
+        self.older: dict[bytes, bytes] = {}  # those kept before, of which the ones in use come back
         parts = json.loads(self.tokenizer.to_str())
         normal = _steps(parts["normalizer"], "normalizers")
         alone = all(s["type"] in APART or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in normal)
@@ -85,12 +97,13 @@ class Encoder:
         whole = parts["truncation"] is None and parts["padding"] is None
         self.by_words = alone and bare and whole and all(self._ids(x + s + y) == self._ids(x) + self._ids(y) for x in KINDS for y in KINDS for s in SPACES)
         self.folds = any(s["type"] == "Lowercase" for s in normal)
+        self.composes = {s["type"] for s in normal} <= {"NFC", "Lowercase", "Replace"}  # composed lower-case letters stay as they are
         # letters alone: one run of letters for the pre-tokenizer, whose bytes the model gets
         before = _steps(parts["pre_tokenizer"], "pretokenizers")
         self.bytes = _byte_letters()
         probe = ["a", "thinking", "zq", "ofantition", "é", "straße", "漢字", "οδος", "ofé", "naïve"]
         bytewise = bool(before) and before[-1]["type"] == "ByteLevel" and not before[-1]["add_prefix_space"] and not before[-1]["use_regex"]
-        self.plain = self.by_words and bytewise and all(self._letters(w) == self._ids(w) for w in probe)
+        self.plain = self.by_words and bytewise and all(self._letters(w.encode()) == self._ids(w) for w in probe)
 
     def _pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -101,43 +114,55 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.bytes)
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(word)])
+    def _letters(self, word: bytes) -> bytes:
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def _word(self, word: bytes) -> bytes:
-        """Ids of a word; closing punctuation after a plain letter is a word of its own to the tokenizer."""
+        """Ids of a word; closing punctuation after a plain letter is a word of its own to the tokenizer. A word that is
+        made of others is kept only if these were met before."""
         kept = self.kept
-        core = word.rstrip(b".,!?;:")
-        if core and core != word and core[-1:].isalpha():
-            tail = word[len(core) :]
-            out = (kept.get(core) or self._word(core)) + (kept.get(tail) or self._word(tail))
-        elif self.folds and word.isalpha() and word.isascii() and not word.islower():
-            low = word.lower()
-            out = kept.get(low) or self._word(low)
-        elif self.plain and word.isalpha() and word.islower():
-            out = self._letters(word.decode())
-        else:
-            text = word.decode()
-            if self.plain and text.isalpha() and (text := self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text).isalpha():
-                out = self._letters(text)
+        out = self.older.get(word)
+        if out is None and word.isalpha():  # ASCII letters alone
+            if self.folds and not word.islower():
+                low = word.lower()
+                out = kept.get(low)
+                if out is None:
+                    return self._word(low)
+            else:
+                out = self._letters(word) if self.plain else self._ids(word.decode())
+        elif out is None:
+            core = word.rstrip(b".,!?;:")
+            if core and core != word and core[-1:].isalpha():
+                end, known = kept[word[len(core) :]], kept.get(core)
+                if known is None:
+                    return self._word(core) + end
+                out = known + end
             else:
-                out = self._ids(word.decode())
+                out = self._other(word.decode())
         if len(kept) >= KEPT:
+            self.older = dict(kept)
             kept.clear()
         kept[word] = out
         return out
 
+    def _other(self, text: str) -> bytes:
+        if not self.plain or not text.isalpha():
+            return self._ids(text)
+        if self.composes and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return self._letters(text.encode())
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return self._letters(normal.encode()) if normal.isalpha() else self._ids(text)
+
     def encode(self, text: str | None) -> bytes:
         if not self.by_words:
             return self._ids(text or "")
-        data, get, new, out, at = (text or "").encode(), self.kept.get, self._word, [], 0
+        data, ids, out, at = (text or "").encode(), self.kept.__getitem__, [], 0
         while at < len(data):
             end = at + PIECE
             while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
                 end += 1
-            out.append(b"".join([get(w) or new(w) for w in data[at:end].split()]))
+            out.append(b"".join(map(ids, data[at:end].split())))
             at = end
         return b"".join(out)
 
