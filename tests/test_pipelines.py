@@ -170,8 +170,8 @@ def test_vector_ranking(spark):
     got = search.vector_search(rows, [1.0, 0.0, 0.0], 2, 0.0, "2024-01-31").collect()
     assert [(r.id, round(r.score, 6)) for r in got] == [("high-quality-lower-sim", 0.86), ("low-quality-high-sim", 0.84)]
     assert search.vector_search(rows, [float("nan")], 2, 0.0, "2024-01-31").count() == 0
-    with pytest.raises(ValueError):
-        search.vector_search(rows, [1.0, 0.0, 0.0], 2, 1.5)
+    # a threshold beyond 0 to 1 is moved to the nearer end, one that is no number is 0
+    assert [search.vector_search(rows, [1.0, 0.0, 0.0], 2, t, "2024-01-31").count() for t in (1.5, -1.0, float("nan"))] == [0, 2, 2]
 
 
 def test_vector_search_step(spark):
