@@ -311,13 +311,16 @@ def semantic_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, Data
     whole = cut(sets.where(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens"), "id"))
     classes = whole.groupBy("tokens").agg(F.min("id").alias("c"))
     df = classes.select("c", F.explode("tokens").alias("t"))
-    rarity = df.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ordered = df.join(rarity, "t").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o")).select("c", F.transform("o", lambda x: x["t"]).alias("o"))
+    rarity = cut(df.groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.monotonically_increasing_id()))  # tokens as numbers
+    ordered = df.join(rarity, "t").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("o")).select("c", F.transform("o", lambda x: x["i"]).alias("o"))
     ordered = cut(ordered.withColumn("k", F.size("o")))
     keep = F.col("k") - F.ceil(F.col("k") * F.lit(threshold) - 1e-9) + 1
-    prefix = ordered.select("c", "k", F.explode(F.slice("o", 1, keep.cast("int"))).alias("t"))
-    a, b = prefix.select("t", F.col("c").alias("a"), F.col("k").alias("ka")), prefix.select("t", F.col("c").alias("b"), F.col("k").alias("kb"))
-    near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
+    prefix = ordered.select("c", "k", F.posexplode(F.slice("o", 1, keep.cast("int"))).alias("p", "t"))
+    side = lambda c, k, p: prefix.select("t", F.col("c").alias(c), F.col("k").alias(k), F.col("p").alias(p))
+    both = side("a", "ka", "pa").join(side("b", "kb", "pb"), "t").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold) - 1e-9))
+    # at the first token that two sets share, no more than the rest of the shorter one can follow
+    most = F.least(F.col("ka") - F.col("pa"), F.col("kb") - F.col("pb"))
+    near = both.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("ka") + F.col("kb")) - 1e-9).select("a", "b").distinct()
     oa, ob = ordered.select(F.col("c").alias("a"), F.col("o").alias("x")), ordered.select(F.col("c").alias("b"), F.col("o").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     sims = near.join(oa, "a").join(ob, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("s")).where(F.col("s") >= threshold)
