@@ -90,6 +90,8 @@ def fingerprints(text: Column) -> Column:
 def _to_anchors(fps: DataFrame, words: list[str], parts: int) -> DataFrame:
     """(half, anchor, *words, home) for each anchor that a fingerprint of 64-bit ``words`` is copied to. Its ``parts``
     halves begin at bits 0, 32, 64, ...; positions in the code are 1 to 31."""
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(tasks)  # a few files of fingerprints become many copies
     half = F.explode(F.array(*[F.lit(32 * k) for k in range(parts)])).alias("half")
     word = f"element_at(array({', '.join(words)}), int(half div 64) + 1)" if len(words) > 1 else words[0]
     x = fps.select(*words, half).withColumn("x", F.expr(f"shiftrightunsigned({word}, half % 64) & {2**CODE - 1}L"))
