@@ -5,7 +5,7 @@ import pytest
 
 from quern import catalog
 
-NAMES = ["graph_neighbors_d1", "graph_neighbors_d2_bidir", "graph_pagerank_step", "graph_path"]
+NAMES = ["graph_neighbors_d1", "graph_neighbors_d2_bidir", "graph_pagerank_step", "graph_path", "clusters_semantic"]
 
 
 @pytest.fixture(scope="module")
