@@ -14,6 +14,9 @@ NODES = [("n1", "dev", "rust async programming", 0.9), ("n2", "dev", "rust sync
 LINKS = [("n1", "n2", "related", 0.9), ("n2", "n3", "related", 0.5), ("n3", "n4", "blocks", 0.8), ("n1", "n4", "depends", 0.7), ("n5", "n6", "related", 0.9)]
 
 
+LOCAL = graph.louvain_local
+
+
 @pytest.fixture(scope="module")
 def engine(spark):
     rows = [(i, {"category": c, "text": t, "score": s}) for i, c, t, s in NODES]
@@ -69,6 +72,29 @@ def test_clusters(engine):
     assert sem == {("n1", "n2", "n4"), ("n5", "n6")}
 
 
+@pytest.mark.parametrize("held, piece", [(1 << 26, 1 << 20), (100, 7)])
+def test_louvain_from_a_file_is_louvain_in_memory(spark, monkeypatch, held, piece):
+    monkeypatch.setattr(graph, "HELD", held, raising=False)
+    monkeypatch.setattr(graph, "PIECE", piece, raising=False)
+    monkeypatch.setattr(graph, "louvain_local", None)  # no dicts of a whole component
+    rng, rows = np.random.default_rng(3), []
+    for g in range(4):
+        for _ in range(150 if g else 0):  # links within six groups are likelier; some are loops, some are there twice
+            a = int(rng.integers(60))
+            b = int(rng.integers(60)) if rng.random() < 0.3 else (a + 6 * int(rng.integers(10))) % 60
+            rows.append((f"g{g}n{a:02d}", f"g{g}n{b:02d}", float(rng.integers(1, 9))))
+    rows += [("x", "x", 2.0), ("y", "z", 1.0)]
+    frame = spark.createDataFrame(rows, "src string, dst string, strength double").selectExpr("*", "cast(null as double) as weight")
+    got = {}
+    for r in graph.louvain_members(frame).collect():
+        got.setdefault(r.key, set()).add(r.id)
+    src, dst, w = (np.array(c, object) for c in zip(*rows))
+    want, of = {}, LOCAL(src, dst, w)
+    for i, key in of.items():
+        want.setdefault(key, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 10 < len(got) < 120
+
+
 def test_auto_link(engine, spark):
     d = graph.data_nodes(engine.nodes)
     assert graph.category_pairs(d).count() == 4
